@@ -28,9 +28,9 @@ ENCODED = "ids binary, decoded string"
 
 #: Characters whose class, case and normal form are the same in every Unicode version; others go to the library.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įı-ɏ‐-―‘-‟†-•…€]")
-_LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
-_NUMBER = "0-9²³¹¼-¾"
-_WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
+LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
+NUMBER = "0-9²³¹¼-¾"
+_WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+")
 END = b"\xff"  # never a byte of UTF-8; stands for the mark of a word's end
 
 

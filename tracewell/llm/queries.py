@@ -6,5 +6,7 @@ from tracewell.llm import queries_tokens
 
 QUERIES = {
     "op4_bpe_codec": queries_tokens.op4_bpe_codec,
+    "op7_token_counts": queries_tokens.op7_token_counts,
+    "op8_best_fit_packing": queries_tokens.op8_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -23,3 +23,17 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.counts import token_counts
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_counts(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.packing import pack_documents
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
