@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracewell.llm import queries_tokens
+from tracewell.llm import queries_dedup, queries_tokens
 
 QUERIES = {
     "op4_bpe_codec": queries_tokens.op4_bpe_codec,
     "op7_token_counts": queries_tokens.op7_token_counts,
     "op8_best_fit_packing": queries_tokens.op8_best_fit_packing,
+    "op9_substring_dedup": queries_dedup.op9_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
