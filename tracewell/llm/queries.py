@@ -5,6 +5,7 @@ from __future__ import annotations
 from tracewell.llm import queries_dedup, queries_tokens
 
 QUERIES = {
+    "op3_ngram_jaccard_join": queries_dedup.op3_ngram_jaccard_join,
     "op4_bpe_codec": queries_tokens.op4_bpe_codec,
     "op7_token_counts": queries_tokens.op7_token_counts,
     "op8_best_fit_packing": queries_tokens.op8_best_fit_packing,

@@ -12,3 +12,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = drop_repeats(docs)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.jaccard import jaccard_join
+
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
