@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tracewell.llm import queries_dedup, queries_tokens
+from tracewell.llm import queries_dedup, queries_tokens, queries_vectors
 
 QUERIES = {
+    "op2_exact_topk_search": queries_vectors.op2_exact_topk_search,
     "op3_ngram_jaccard_join": queries_dedup.op3_ngram_jaccard_join,
     "op4_bpe_codec": queries_tokens.op4_bpe_codec,
     "op7_token_counts": queries_tokens.op7_token_counts,
     "op8_best_fit_packing": queries_tokens.op8_best_fit_packing,
     "op9_substring_dedup": queries_dedup.op9_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_exact_topk_search": queries_vectors.OP2_SQL,
+}
