@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tracewell.llm import queries_dedup, queries_tokens, queries_vectors
+from tracewell.llm import queries_dedup, queries_models, queries_tokens, queries_vectors
 
 QUERIES = {
+    "op5_quality_classifier": queries_models.op5_quality_classifier,
+    "op6_language_id": queries_models.op6_language_id,
     "op2_exact_topk_search": queries_vectors.op2_exact_topk_search,
     "op3_ngram_jaccard_join": queries_dedup.op3_ngram_jaccard_join,
     "op4_bpe_codec": queries_tokens.op4_bpe_codec,
