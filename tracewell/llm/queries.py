@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracewell.llm import queries_dedup, queries_models, queries_tokens, queries_vectors
+from tracewell.llm import queries_dedup, queries_media, queries_models, queries_tokens, queries_vectors
 
 QUERIES = {
+    "op10_media_columns": queries_media.op10_media_columns,
     "op5_quality_classifier": queries_models.op5_quality_classifier,
     "op6_language_id": queries_models.op6_language_id,
     "op2_exact_topk_search": queries_vectors.op2_exact_topk_search,
