@@ -5,6 +5,7 @@ from __future__ import annotations
 from tracewell.llm import queries_dedup, queries_media, queries_models, queries_tokens, queries_vectors
 
 QUERIES = {
+    "op1_html_extraction": queries_media.op1_html_extraction,
     "op10_media_columns": queries_media.op10_media_columns,
     "op5_quality_classifier": queries_models.op5_quality_classifier,
     "op6_language_id": queries_models.op6_language_id,
