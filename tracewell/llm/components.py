@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._text import checkpointed
+from tracewell.llm._text import checkpointed, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,8 +17,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     met by joins that Spark can split. Nothing but counts comes to the driver. Self edges make
     nodes of their own component; null ends are left out; an empty table gives an empty table.
     """
+    spent = []
     edges = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    left = checkpointed(edges.select("a", "b").distinct())
+    left = before = checkpointed(edges.select("a", "b").distinct())
     nodes, step = None, 0
     while True:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -34,10 +35,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         b = chosen.select(F.col("node").alias("b"), F.col("to").alias("y"))
         left = left.join(a, "a").join(b, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         left = checkpointed(left)
+        release(before)
+        before = left
+        spent.append(chosen)
         if left.isEmpty():
             break
-        nodes = checkpointed(nodes)
+        if step:
+            nodes = checkpointed(nodes)
+            spent.append(nodes)
         step += 1
     nodes = checkpointed(nodes)
+    release(left, *spent)
     least = nodes.groupBy("to").agg(F.min("node").alias("component"))
     return nodes.join(least, "to").select("node", "component")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, slices, span_hashes, view, with_size_check, word_spans
+from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, release, slices, span_hashes, view, with_size_check, word_spans
 from tracewell.llm.components import connected_components
 
 WORDS = 5
@@ -271,8 +271,8 @@ def jaccard_join(
     shared = keys.groupBy("band").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "least")
     ties = keys.join(shared, "band").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     clusters = connected_components(ties).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    members = clusters.join(classes.select("rep", "copies", "size", "one", "two"), "rep")
-    members = checkpointed(members)
+    members = checkpointed(clusters.join(classes.select("rep", "copies", "size", "one", "two"), "rep"))
+    release(keys)
     sums = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     sized = members.join(sums.select("cluster", blocks.alias("blocks")), "cluster")
@@ -288,6 +288,7 @@ def jaccard_join(
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_members // 4000))
     dealt = paired.repartition(parts, "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "block", "rep")
     found = checkpointed(dealt.mapInArrow(partial(_group_batches, threshold=exact, tolerance=tolerance), "rep long, links long, root long"))
+    release(filled, members)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = connected_components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     joined = joined.select(F.col("node").alias("rep"), F.col("component"))
