@@ -163,6 +163,20 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     return docs.select(*kept).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def _filter_batches(batches, model, text: str, least: float):
+    for batch in batches:
+        for part, texts in slices(batch, text, 1 << 20):
+            names, confidence = score(texts, model.value)
+            yield part.filter(pa.array([n != UNDETERMINED and c >= least for n, c in zip(names, confidence, strict=True)]))
+
+
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows, with all columns, whose text has a language with a score of at least `least`. One narrow pass over the texts."""
+    bounded_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(partial(_filter_batches, model=sent, text=text, least=least), docs.schema)
+
+
 def held_out(key: str = "doc_id"):
     """Whether a document is kept from training: crc32 of its id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))

@@ -211,6 +211,28 @@ def _score_batches(batches, model):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
 
+def learn_quality(measured: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> Model | None:
+    """A model from the labels (doc_id, quality) of documents that are not held out and their statistics."""
+    taught = labels.filter("quality in (0, 1)").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    taught = taught.select("doc_id", F.col("quality").cast("int").alias("quality"))
+    return fit(measured.join(taught, "doc_id"), training_rows)
+
+
+def _filter_batches(batches, model, text: str):
+    for batch in batches:
+        for part, texts in slices(batch, text, 1 << 20):
+            yield part.filter(pa.array(model.value(statistics(texts)) >= 0.5))
+
+
+def keep_good(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows, with all columns, whose text scores 0.5 or more; all rows without a model. One narrow pass over the texts."""
+    if model is None:
+        return docs
+    bounded_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(partial(_filter_batches, model=sent, text=text), docs.schema)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs`; learned from `labels` (doc_id, quality) that are not held out.
 
@@ -220,9 +242,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, training_rows: int = TRAIN
     """
     spark = docs.sparkSession
     measured = checkpointed(text_statistics(docs))
-    taught = labels.filter("quality in (0, 1)").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    taught = taught.select("doc_id", F.col("quality").cast("int").alias("quality"))
-    model = fit(measured.join(taught, "doc_id"), training_rows)
+    model = learn_quality(measured, labels, training_rows)
     sent = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = measured.mapInArrow(partial(_score_batches, model=sent), f"doc_id {kind}, score double")
