@@ -24,10 +24,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, slices, span_hashes, view, with_size_check, word_spans
+from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, release, slices, span_hashes, view, word_spans
 
 SIZE = 20
 GRAM = 5
@@ -215,37 +216,39 @@ def removal_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     known = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     segments = checkpointed(known.mapInArrow(partial(_segment_batches, text="text", size=size), SEGMENTS))
     repeated = checkpointed(segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
-    kept = checkpointed(segments.join(with_size_check(repeated, repeated.count(), 24), "anchor", "left_semi"))
+    kept = checkpointed(segments.join(repeated.hint("merge"), "anchor", "left_semi"))
+    release(segments, repeated)
     # classes of equal content, each with its earliest place
     place = F.struct("doc", "start")
     first = kept.groupBy("anchor", "content", "windows").agg(F.min(place).alias("first"))
     first = checkpointed(first)
     crowded = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     crowded = checkpointed(crowded)
-    n_crowded = crowded.count()
-    several = first.join(with_size_check(crowded, n_crowded, 32), "anchor").select("anchor", "content", "windows", "first.doc", "first.start", "classes")
+    several = first.join(crowded.hint("merge"), "anchor").select("anchor", "content", "windows", "first.doc", "first.start", "classes")
     several = checkpointed(several)
     asked = several.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "anchor", "content", "classes")).alias("asked"))
-    n_asked = several.count()
     content = (
-        known.join(with_size_check(asked, n_asked, 64), "doc")
+        known.join(asked.hint("merge"), "doc")
         .select("doc", "text", "asked")
         .mapInArrow(partial(_content_batches, text="text", size=size), "doc long, start int, windows int, anchor long, content long, words binary")
     )
     content = checkpointed(content.dropDuplicates(["content", "anchor"]))
-    masks = _masks(content, crowded, n_crowded, size, hot)
+    release(several)
+    masks = _masks(content, crowded, size, hot)
     marked = first.join(masks, ["anchor", "content"], "left").select("anchor", "content", "first", F.coalesce("earlier", F.lit(0)).alias("earlier"))
-    spans = kept.join(marked, ["anchor", "content"])
+    marked = checkpointed(marked)  # so that the join below meets two exchanges, which Spark splits where one class is hot
+    release(first, content, crowded)
+    spans = kept.join(marked.hint("merge"), ["anchor", "content"])
     whole = F.expr("shiftleft(1L, windows) - 1")
     removed = F.when(F.struct("doc", "start") == F.col("first"), F.col("earlier")).otherwise(whole)
     return spans.select("doc", "start", "windows", removed.alias("removed")).filter("removed <> 0")
 
 
-def _masks(content: DataFrame, crowded: DataFrame, n_crowded: int, size: int, hot: int) -> DataFrame:
+def _masks(content: DataFrame, crowded: DataFrame, size: int, hot: int) -> DataFrame:
     """(anchor, content, earlier): which windows of each class an earlier class of the same minimizer holds."""
     n = content.count()
     shards = max(8, -(-n // SHARD_CLASSES))
-    sized = content.join(with_size_check(crowded, n_crowded, 32), "anchor")
+    sized = content.join(crowded.hint("merge"), "anchor")
     calm = sized.filter(F.col("classes") <= hot).drop("classes")
     dealt = calm.repartition(shards, F.xxhash64("anchor")).sortWithinPartitions("anchor", "doc", "start", "content")
     few = dealt.select("anchor", "content", "words").mapInArrow(partial(_shard_batches, size=size), "content long, anchor long, earlier long")
@@ -313,6 +316,65 @@ def _keep_batches(batches, text: str, size: int):
             yield pa.RecordBatch.from_arrays([*arrays, *new], [*names, "n_words", "n_removed", "kept"])
 
 
+def _cut_batches(batches, key: str, text: str, size: int, count: str | None):
+    """The rows with the removed words cut from their texts, with the white space after them; texts that lose all words go."""
+    for batch in batches:
+        for part, texts in slices(batch, text):
+            data, at = view(texts)
+            starts, ends, first = word_spans(data, at)
+            raw, out, stay = data.tobytes(), [], []
+            for row, spans in enumerate(part.column("spans").to_pylist()):
+                if not spans:
+                    out.append(None)
+                    stay.append(True)
+                    continue
+                a, b = first[row], first[row + 1]
+                marks = np.zeros(b - a, bool)
+                _removed(marks, spans, size)
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], marks, [False]]).astype(np.int8)))
+                pieces, before = [], at[row]
+                for low, high in edges.reshape(-1, 2) + a:
+                    pieces.append(raw[before : starts[low]])
+                    before = starts[high] if high < b else ends[high - 1]
+                pieces.append(raw[before : at[row + 1]])
+                out.append(b"".join(pieces).decode())
+                stay.append(not marks.all())
+            changed = pa.array([x is not None for x in out])
+            new = pa.array(out, pa.string())
+            columns = []
+            for name in part.schema.names:
+                if name == text:
+                    columns.append(pc.if_else(changed, new, part.column(name).cast(pa.string())))
+                elif name == count:
+                    columns.append(pc.if_else(changed, pc.utf8_length(new).cast(pa.int64()), part.column(name).cast(pa.int64())))
+                elif name != "spans":
+                    columns.append(part.column(name))
+            names = [n for n in part.schema.names if n != "spans"]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stay))
+
+
+def _with_spans(docs: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """The documents with their array of spans; both sides are shuffled by the key, however small one is."""
+    grouped = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "removed")).alias("spans"))
+    grouped = checkpointed(grouped)
+    return docs.join(grouped.hint("merge"), F.col(key).cast("long") == F.col("doc"), "left").drop("doc")
+
+
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str | None = None, size: int = SIZE, hot: int = HOT) -> DataFrame:
+    """The same columns, with repeated windows cut from the texts; `count` names a column with the number of characters, kept true.
+
+    What stands between kept words stays as it is. Documents that lose all their words go; all others
+    stay, with or without words. Columns named `doc` or `spans` raise ValueError; else as `drop_repeats`.
+    """
+    if clash := {"doc", "spans"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {sorted(clash)} would clash")
+    bounded_batches(docs.sparkSession)
+    joined = _with_spans(docs, removal_spans(docs, key, text, size, hot), key)
+    typed = [F.col(c).cast("long").alias(c) if c == count else F.col(c) for c in joined.columns]
+    schema = ", ".join(f"`{f.name}` {'bigint' if f.name == count else f.dataType.simpleString()}" for f in docs.schema)
+    return joined.select(*typed).mapInArrow(partial(_cut_batches, key=key, text=text, size=size, count=count), schema)
+
+
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, hot: int = HOT) -> DataFrame:
     """Key, n_words, n_removed and `kept`: each text's words without those that a repeated window covers, one space between.
 
@@ -321,11 +383,8 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     other. Rows with a null key are kept whole. Ties can't occur otherwise: a place is a key and a
     word. Columns other than key and text are left out, whatever their names.
     """
-    spans = removal_spans(docs, key, text, size, hot)
-    grouped = checkpointed(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "removed")).alias("spans")))
-    weight = grouped.agg(F.sum(F.size("spans") + 4).alias("n")).first()["n"] or 0
     kept = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text"))
-    joined = kept.join(with_size_check(grouped, weight, 24), F.col("doc_key").cast("long") == F.col("doc"), "left").select("doc_key", "text", "spans")
+    joined = _with_spans(kept, removal_spans(docs, key, text, size, hot), "doc_key").select("doc_key", "text", "spans")
     kind = docs.schema[key].dataType.simpleString()
     out = joined.mapInArrow(partial(_keep_batches, text="text", size=size), f"doc_key {kind}, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("doc_key", key)
