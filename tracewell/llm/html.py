@@ -206,12 +206,10 @@ def parse(html: str) -> Node:
 
 
 def hidden(node: Node) -> bool:
-    if node.tag in HIDDEN:
-        return True
     a = node.attributes
-    if not a:
-        return False
-    return "hidden" in a or (node.tag == "dialog" and "open" not in a) or ("style" in a and _CONCEALED.search(a["style"]) is not None)
+    if node.tag in HIDDEN or (node.tag == "dialog" and "open" not in a):
+        return True
+    return "hidden" in a or ("style" in a and _CONCEALED.search(a["style"]) is not None)
 
 
 def width(text: str) -> int:
