@@ -18,4 +18,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_exact_topk_search": queries_vectors.OP2_SQL,
+    "op3_ngram_jaccard_join": queries_dedup.OP3_SQL,
+    "op9_substring_dedup": queries_dedup.OP9_SQL,
 }
