@@ -92,7 +92,10 @@ def resolve_models(models: DataFrame) -> DataFrame:
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(FACTS))
-    return models.select("uid", "sql", "problem", "visible").mapInArrow(partial(_resolve_batches, schema=schema), FACTS)
+    models = models.select("uid", "sql", "problem", "visible")
+    if not models.isStreaming:  # small rows that take long: spread them, however few bytes they are
+        models = models.repartition(models.sparkSession.sparkContext.defaultParallelism, "uid")
+    return models.mapInArrow(partial(_resolve_batches, schema=schema), FACTS)
 
 
 @dataclass
