@@ -26,7 +26,7 @@ def query(sql: str | None):
 
 def values(columns: str, text: str) -> str:
     """Rows written by hand, one a line, as SQL."""
-    rows = [[c.strip() for c in line.split(" | ")] for line in text.strip().splitlines()]
+    rows = [[c.strip() for c in line.split(" | ")] for line in text.strip('\n').splitlines()]
     shown = ",\n".join("(" + ", ".join("'" + c.replace("'", "''") + "'" for c in row) + ")" for row in rows)
     return f"SELECT * FROM (VALUES {shown}) AS t({columns})"
 
@@ -316,3 +316,130 @@ def norm_relation(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, md5(substring(text, 1, 500)) AS text_md5, length(text) > 500 AS is_cut FROM documents")
 def cut_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", roles.cut(F.col("text")).alias("c")).select("doc_id", F.md5("c.text").alias("text_md5"), F.col("c.cut").alias("is_cut"))
+
+
+# What feeds what in the models over the test tables, written by hand from their SQL.
+DEMO_EDGES = """
+customer | c_custkey | stg_customer | customer_id | rename
+customer | c_name | stg_customer | name | rename
+customer | c_nationkey | stg_customer | nation_id | cast
+customer | c_acctbal | stg_customer | balance | rename
+customer | c_mktsegment | stg_customer | c_mktsegment | passthrough
+orders | o_orderkey | stg_orders | order_id | rename
+orders | o_custkey | stg_orders | customer_id | rename
+orders | o_orderstatus | stg_orders | status | rename
+orders | o_totalprice | stg_orders | price | rename
+stg_orders | customer_id | int_order_totals | customer_id | passthrough
+stg_orders | price | int_order_totals | total | aggregate
+stg_customer | customer_id | orders_enriched | customer_id | passthrough
+stg_customer | name | orders_enriched | name | passthrough
+stg_orders | price | orders_enriched | total | aggregate
+orders_enriched | customer_id | customer_ltv | customer_id | passthrough
+orders_enriched | total | customer_ltv | ltv | transform
+events | event_id | latest_event | event_id | passthrough
+events | user_id | latest_event | user_id | passthrough
+events | user_id | latest_event | rn | window
+events | ts | latest_event | rn | window
+events | event_id | event_kinds | id | rename
+documents | doc_id | event_kinds | id | rename
+orders | o_custkey | big_spenders | o_custkey | passthrough
+documents | text | doc_keys | doc_key | hash
+documents | lang | doc_keys | lang_key | transform
+documents | doc_id | doc_labels | doc_id | passthrough
+labels | quality | doc_labels | quality | passthrough
+nation | n_nationkey | nation_tree | id | rename
+region | r_regionkey | star_edits | r_regionkey | passthrough
+events | event_id | self_incremental | event_id | passthrough
+events | ts | self_incremental | ts | passthrough
+part | p_partkey | behind_table | p_partkey | passthrough
+part | p_name | behind_table | p_name | inferred
+supplier | s_suppkey | broken_compile | s_suppkey | inferred
+supplier | s_name | broken_compile | s_name | inferred
+supplier | s_suppkey | thin_stage | s_suppkey | passthrough
+supplier | s_acctbal | thin_stage | s_acctbal | inferred
+things | k | undeclared_reader | k | passthrough
+orders | o_orderkey | best_line | o_orderkey | passthrough
+lineitem | l_quantity | best_line | best | aggregate
+events | event_id | event_props | event_id | passthrough
+events | props | event_props | prop | transform
+"""
+DEMO_READS = """
+orders_enriched | STG_CUSTOMER | customer_id | join_key | true
+orders_enriched | STG_ORDERS | customer_id | join_key | false
+latest_event | EVENTS | user_id | dedup_key | true
+latest_event | EVENTS | ts | dedup_key | true
+big_spenders | ORDERS | o_custkey | filter | true
+big_spenders | CUSTOMER | c_custkey | filter | false
+big_spenders | CUSTOMER | c_acctbal | filter | false
+big_spenders | ORDERS | o_totalprice | filter | false
+doc_labels | DOCUMENTS | doc_id | join_key | true
+doc_labels | LABELS | doc_id | join_key | false
+self_incremental | EVENTS | ts | filter | true
+best_line | LINEITEM | l_orderkey | filter | false
+best_line | ORDERS | o_orderkey | filter | true
+"""
+DEMO_PLANS = "\n".join(
+    f"{name} | {'per_column' if name == 'behind_table' else 'inferred' if name == 'broken_compile' else 'parsed'}"
+    for name in "stg_customer stg_orders int_order_totals orders_enriched customer_ltv latest_event event_kinds big_spenders doc_keys doc_labels nation_tree spine star_edits self_incremental behind_table broken_compile thin_stage undeclared_reader best_line event_props".split()
+)
+
+
+def _demo(spark: SparkSession, sf: str):
+    from tracewell.sources.demo import over_tables
+
+    return run_project(spark, over_tables(lambda name: table(spark, sf, name).columns))
+
+
+@query(values("source, source_column, target, target_column, kind", DEMO_EDGES))
+def demo_edges(spark: SparkSession, sf: str) -> DataFrame:
+    edges = _demo(spark, sf).edges
+    return edges.select(short("from").alias("source"), F.col("from_col").alias("source_column"), short("to").alias("target"), F.col("to_col").alias("target_column"), "kind")
+
+
+@query(values("model, relation, column_name, role, projected", DEMO_READS))
+def demo_row_deciding_reads(spark: SparkSession, sf: str) -> DataFrame:
+    from tracewell.operators.report import row_deciding_reads
+
+    reads = row_deciding_reads(_demo(spark, sf))
+    return reads.select(short("uid").alias("model"), short("relation").alias("relation"), F.col("column").alias("column_name"), "role", F.col("projected").cast("string").alias("projected"))
+
+
+@query(values("model, column_name, expressions, complete", "event_kinds | kind | 'document','event' | true\nnation_tree | depth |  | false\nspine | n | seq4() | true"))
+def demo_roots(spark: SparkSession, sf: str) -> DataFrame:
+    roots = _demo(spark, sf).roots
+    return roots.select(short("uid").alias("model"), F.col("column").alias("column_name"), F.array_join("expressions", ",").alias("expressions"), F.col("complete").cast("string").alias("complete"))
+
+
+@query(values("model, plan", DEMO_PLANS))
+def demo_plans(spark: SparkSession, sf: str) -> DataFrame:
+    return _demo(spark, sf).models.select(short("uid").alias("model"), "plan")
+
+
+@query(values("model, cte, column_name, owners", "thin_stage | u | s_acctbal | DEMO.RAW.SUPPLIER"))
+def demo_unbacked(spark: SparkSession, sf: str) -> DataFrame:
+    from tracewell.operators.report import unbacked_reads
+
+    rows = unbacked_reads(_demo(spark, sf))
+    return rows.select(short("uid").alias("model"), "cte", F.col("column").alias("column_name"), F.array_join("owners", ",").alias("owners"))
+
+
+@query(
+    values(
+        "category, owner, severity, models",
+        "compile_does_not_parse | project | error | broken_compile\nreads_a_name_its_cte_lacks | project | warning | thin_stage\nrelation_not_declared | project | warning | undeclared_reader\n"
+        "table_older_than_code | project | warning | behind_table\ncode_ahead_of_table | project | warning | behind_table",
+    )
+)
+def demo_findings(spark: SparkSession, sf: str) -> DataFrame:
+    from tracewell.operators.report import findings
+
+    rows = findings(_demo(spark, sf))
+    return rows.select("category", "owner", "severity", F.array_join(F.transform("models", lambda m: m["name"]), ",").alias("models"))
+
+
+@query("SELECT 20 AS models, 19 AS parsed, 1 AS parse_failed, 38 AS edges_parsed, 4 AS edges_inferred, 13 AS row_deciding_reads, 6 AS read_not_projected, 3 AS columns_root, 1 AS unbacked_reads, 1 AS undeclared")
+def demo_totals(spark: SparkSession, sf: str) -> DataFrame:
+    from tracewell.operators.report import totals
+
+    names = "models parsed parse_failed edges_parsed edges_inferred row_deciding_reads read_not_projected columns_root unbacked_reads undeclared".split()
+    return totals(_demo(spark, sf)).select(*[F.col(n).cast("int").alias(n) for n in names])

@@ -66,3 +66,47 @@ select * from final""",
         project.warehouse[uid] = columns
     project.nodes = dict(sorted(project.nodes.items()))
     return project
+
+
+# Models over the test tables, one or two shapes of SQL each: (name, parents, warehouse columns, SQL).
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+_MODELS = (
+    ("stg_customer", "customer", "customer_id name nation_id balance c_mktsegment", "with src as (select * from demo.raw.customer) select c_custkey as customer_id, c_name as name, cast(c_nationkey as bigint) as nation_id, c_acctbal as balance, c_mktsegment from src"),
+    ("stg_orders", "orders", "order_id customer_id status price", "select o_orderkey as order_id, o_custkey as customer_id, o_orderstatus as status, o_totalprice as price from demo.raw.orders"),
+    ("int_order_totals", "stg_orders", "", "select customer_id, sum(price) as total from demo.main.stg_orders group by customer_id"),
+    ("orders_enriched", "int_order_totals stg_customer", "customer_id name total", "with totals as (select customer_id, sum(price) as total from demo.main.stg_orders group by customer_id), c as (select * from demo.main.stg_customer) select c.customer_id, c.name, coalesce(t.total, 0) as total from c left join totals t on c.customer_id = t.customer_id"),
+    ("customer_ltv", "orders_enriched", "customer_id ltv", "select customer_id, total * 0.1 as ltv from demo.main.orders_enriched"),
+    ("latest_event", "events", "event_id user_id rn", "select event_id, user_id, row_number() over (partition by user_id order by ts desc) as rn from demo.raw.events qualify rn = 1"),
+    ("event_kinds", "events documents", "id kind", "select event_id as id, 'event' as kind from demo.raw.events union all select doc_id, 'document' from demo.raw.documents"),
+    ("big_spenders", "orders customer", "o_custkey", "select o_custkey from demo.raw.orders where o_custkey in (select c_custkey from demo.raw.customer where c_acctbal > 0) group by o_custkey having sum(o_totalprice) > 100"),
+    ("doc_keys", "documents", "doc_key lang_key", "select cast(md5(text) as varchar) as doc_key, coalesce(md5(lang), '-1') as lang_key from demo.raw.documents"),
+    ("doc_labels", "documents labels", "doc_id quality", "select doc_id, quality from demo.raw.documents join demo.raw.labels using (doc_id)"),
+    ("nation_tree", "nation", "id depth", "with recursive t as (select n_nationkey as id, 0 as depth from demo.raw.nation union all select id, depth + 1 from t where depth < 3) select id, depth from t"),
+    ("spine", "", "n", "select seq4() as n from table(generator(rowcount => 10))"),
+    ("star_edits", "region", "r_regionkey", "select * exclude (r_name) from demo.raw.region"),
+    ("self_incremental", "events", "event_id ts", "select event_id, ts from demo.raw.events where ts > (select max(ts) from demo.main.self_incremental)"),
+    ("behind_table", "part", "p_partkey p_name", "select p_partkey, p_brand from demo.raw.part"),
+    ("broken_compile", "supplier", "s_suppkey s_name", "select from demo.raw.supplier"),
+    ("thin_stage", "supplier", "s_suppkey s_acctbal", "with u as (select s_suppkey from demo.raw.supplier) select s_suppkey, s_acctbal from u"),
+    ("undeclared_reader", "", "k", "select x.k from demo.elsewhere.things x"),
+    ("best_line", "orders lineitem", "o_orderkey best", "select o_orderkey, (select max(l.l_quantity) from demo.raw.lineitem l where l.l_orderkey = o.o_orderkey) as best from demo.raw.orders o"),
+    ("event_props", "events", "event_id prop", "select e.event_id, f.value as prop from demo.raw.events e, lateral flatten(input => parse_json(e.props)) f"),
+)
+
+
+def over_tables(columns_of) -> Project:
+    """A project over the test tables; `columns_of` gives a table's columns, which stand for the catalog."""
+    project = Project({}, "demo", "snowflake")
+    for name in _TABLES:
+        uid = f"source.demo.{name}"
+        project.nodes[uid] = Node(uid, name, "source", "demo", relation=f"demo.raw.{name}")
+        project.warehouse[uid] = [c.lower() for c in columns_of(name)]
+    for name, parents, columns, sql in _MODELS:
+        uid = f"model.demo.{name}"
+        given = [f"{'source' if p in _TABLES else 'model'}.demo.{p}" for p in parents.split()]
+        ephemeral = name.startswith("int_")
+        project.nodes[uid] = Node(uid, name, "model", "demo", f"models/{name}.sql", "" if ephemeral else f"demo.main.{name}", "ephemeral" if ephemeral else "table", sql=sql, sql_source="manifest", parents=given)
+        if columns:
+            project.warehouse[uid] = columns.split()
+    project.nodes = dict(sorted(project.nodes.items()))
+    return project
