@@ -6,13 +6,15 @@ at most `limit` bytes of text (or one single longer text), which bounds the memo
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BROADCAST_BYTES = 32 << 20
 
 _U = np.uint64
@@ -20,11 +22,11 @@ _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep the Arrow batches that go to Python small: rows, and bytes where Spark knows that setting."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     except Exception:  # an older Spark without this setting
         return
 
@@ -57,6 +59,51 @@ def with_size_check(df: DataFrame, rows: int, row_bytes: int, limit: int = BROAD
     return F.broadcast(df) if rows * row_bytes <= limit else df.hint("merge")
 
 
+class Recent(dict):
+    """A memo of `make`: when it is full, only what was asked for since the last time it was full stays."""
+
+    made: list[Recent] = []
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, most, {}
+        Recent.made.append(self)
+
+    def __missing__(self, key):
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def tidy(task):
+    """A task over batches that leaves its worker, which later tasks use too, without memos and freed memory."""
+
+    @functools.wraps(task)
+    def run(*args, **named):
+        try:
+            yield from task(*args, **named)
+        finally:
+            for memo in Recent.made:
+                memo.clear()
+                memo.older = {}
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return run
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
     """The column as large strings in one chunk, nulls as empty texts."""
     if isinstance(column, pa.ChunkedArray):

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewell.llm._text import bounded_batches, slices, view
+from tracewell.llm._text import Recent, bounded_batches, slices, tidy, view
 
 ENCODED = "ids binary, decoded string"
 
@@ -80,23 +80,6 @@ def word_merger(path: str):
     return merger._core_bpe.encode_single_piece, texts
 
 
-class Recent(dict):
-    """A memo of `make`: when it is full, only what was asked for since the last time it was full stays."""
-
-    def __init__(self, make, most: int):
-        self.make, self.most, self.older = make, most, {}
-
-    def __missing__(self, key):
-        out = self.older.get(key)
-        if out is None:
-            out = self.make(key)
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = out
-        return out
-
-
 def _word_maker(path: str):
     """word -> (ids as bytes, decoded bytes)"""
     merge, texts = word_merger(path)
@@ -190,6 +173,7 @@ def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+@tidy
 def _encode_batches(batches, path: str, text: str):
     encoder = _encoder(path)
     for batch in batches:

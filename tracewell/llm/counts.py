@@ -15,8 +15,7 @@ from functools import lru_cache, partial
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewell.llm._text import bounded_batches, slices
-from tracewell.llm.bpe import Recent
+from tracewell.llm._text import Recent, bounded_batches, slices, tidy
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # of the library
@@ -110,6 +109,7 @@ def counter(path: str) -> Counter:
     return _Marked(*vocabulary(path))
 
 
+@tidy
 def _count_batches(batches, path: str, text: str):
     counts = counter(path)
     for batch in batches:

@@ -17,7 +17,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewell.llm._text import bounded_batches, slices
+from tracewell.llm._text import bounded_batches, slices, tidy
 
 MAX_DEPTH = 200
 MAX_SPAN = 100
@@ -403,6 +403,7 @@ def render(html: str) -> str:
     return "\n".join(renderer.lines)
 
 
+@tidy
 def _extract_batches(batches, html: str, keep: list[str]):
     for batch in batches:
         for part, texts in slices(batch, html):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, release, slices, span_hashes, view, with_size_check, word_spans
+from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, release, slices, span_hashes, tidy, view, with_size_check, word_spans
 from tracewell.llm.components import connected_components
 
 WORDS = 5
@@ -82,6 +82,7 @@ def _identity(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(one, np.uint64).view(np.int64), np.array(two, np.uint64).view(np.int64)
 
 
+@tidy
 def _profile_batches(batches, k: int):
     for batch in batches:
         for part, texts in slices(batch, "text"):
@@ -97,6 +98,7 @@ def _profile_batches(batches, k: int):
             yield pa.RecordBatch.from_arrays([doc, size, pa.array(one), pa.array(two), bands], ["doc", "size", "one", "two", "bands"])
 
 
+@tidy
 def _member_batches(batches, k: int):
     for batch in batches:
         for part, texts in slices(batch, "text"):
@@ -214,6 +216,7 @@ def linked(a: list[tuple], b: list[tuple] | None, threshold: Fraction, tolerance
     return [(int(name[x]), int(links[x]), int(root[x])) for x in np.flatnonzero(links)]
 
 
+@tidy
 def _group_batches(batches, threshold: Fraction, tolerance: float):
     """Rows come sorted by (cluster, low, high, block, rep), each group of (cluster, low, high) whole in a task."""
     key, sides, found = None, {}, []

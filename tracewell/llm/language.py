@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._text import bounded_batches, slices, view
+from tracewell.llm._text import bounded_batches, slices, tidy, view
 
 BUCKETS = 1 << 14
 ORDERS = (2, 3)
@@ -60,6 +60,7 @@ def ngram_buckets(texts: pa.LargeStringArray, buckets: int = BUCKETS) -> tuple[n
     return np.concatenate(out_owner), np.concatenate(out_bucket)
 
 
+@tidy
 def _count_batches(batches, buckets: int):
     totals: dict[str, np.ndarray] = {}
     documents: dict[str, int] = {}
@@ -140,6 +141,7 @@ def score(texts: pa.LargeStringArray, model: Model) -> tuple[list[str], np.ndarr
     return names, confidence
 
 
+@tidy
 def _score_batches(batches, model, text: str, keep: list[str]):
     for batch in batches:
         for part, texts in slices(batch, text, 1 << 20):
@@ -163,6 +165,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     return docs.select(*kept).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+@tidy
 def _filter_batches(batches, model, text: str, least: float):
     for batch in batches:
         for part, texts in slices(batch, text, 1 << 20):

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm._text import bounded_batches, checkpointed, slices
-from tracewell.llm.bpe import LETTER, NUMBER, UNUSUAL, Recent, library, specials
+from tracewell.llm._text import Recent, bounded_batches, checkpointed, slices, tidy
+from tracewell.llm.bpe import LETTER, NUMBER, UNUSUAL, library, specials
 
 #: The same split for the characters that bpe.UNUSUAL lets pass.
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\\s{LETTER}{NUMBER}]+|\\s+(?!\\S)|\\s+")
@@ -80,6 +80,7 @@ def _byte_encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)
 
 
+@tidy
 def _piece_batches(batches, path: str, text: str, end_id: int, capacity: int):
     encoder, end = _byte_encoder(path), array("I", [end_id]).tobytes()
     for batch in batches:
@@ -170,6 +171,7 @@ def _places(plan: Iterable[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.n
     return {x: np.array(r, np.int64) for x, r in rows.items()}
 
 
+@tidy
 def _place_batches(batches, places: dict[int, np.ndarray]):
     for batch in batches:
         length = batch.column("length").to_numpy()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, slices, span_hashes, view, word_spans
+from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, slices, span_hashes, tidy, view, word_spans
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -89,6 +89,7 @@ def statistics(texts: pa.LargeStringArray) -> np.ndarray:
     return np.column_stack([np.sqrt(share), *more])
 
 
+@tidy
 def _statistic_batches(batches):
     for batch in batches:
         for part, texts in slices(batch, "text", 1 << 20):
@@ -109,6 +110,7 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), N_STATISTICS)
 
 
+@tidy
 def _moment_batches(batches):
     n, one, two = 0, np.zeros(N_STATISTICS), np.zeros(N_STATISTICS)
     for batch in batches:
@@ -132,6 +134,7 @@ class Features:
         return np.column_stack([np.ones(len(x)), wave])
 
 
+@tidy
 def _equation_batches(batches, features: Features):
     width = len(features.phase) + 1
     sums = np.zeros((2, width, width + 2))
@@ -153,6 +156,7 @@ def solve(sums: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     return np.linalg.solve(sums[:, :width] + penalty, sums[:, width])
 
 
+@tidy
 def _cross_batches(batches, features: Features, weights: tuple[np.ndarray, np.ndarray]):
     for batch in batches:
         x, half = features(_matrix(batch.column("statistics"))), np.asarray(batch.column("half"))
@@ -205,6 +209,7 @@ def fit(labelled: DataFrame, training_rows: int = TRAINING_ROWS) -> Model | None
     return Model(features, solve(sums[0] + sums[1]), isotonic(crossed["score"].to_numpy(), crossed["quality"].to_numpy()))
 
 
+@tidy
 def _score_batches(batches, model):
     for batch in batches:
         score = model.value(_matrix(batch.column("statistics"))) if model.value else np.full(len(batch), 0.5)
@@ -218,6 +223,7 @@ def learn_quality(measured: DataFrame, labels: DataFrame, training_rows: int = T
     return fit(measured.join(taught, "doc_id"), training_rows)
 
 
+@tidy
 def _filter_batches(batches, model, text: str):
     for batch in batches:
         for part, texts in slices(batch, text, 1 << 20):

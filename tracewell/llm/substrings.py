@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, release, slices, span_hashes, view, word_spans
+from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, release, slices, span_hashes, tidy, view, word_spans
 
 SIZE = 20
 GRAM = 5
@@ -74,6 +74,7 @@ def segments_of(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.nda
     return text[at], at - first[text[at]], windows, grams[least[at]].view(np.int64), content.view(np.int64)
 
 
+@tidy
 def _segment_batches(batches, text: str, size: int):
     for batch in batches:
         for part, texts in slices(batch, text):
@@ -85,6 +86,7 @@ def _segment_batches(batches, text: str, size: int):
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "start", "windows", "anchor", "content"])
 
 
+@tidy
 def _content_batches(batches, text: str, size: int):
     """The word hashes of the asked segments of each text: one row for each segment."""
     for batch in batches:
@@ -181,6 +183,7 @@ def earlier_windows(sequences: list[list[int]], size: int) -> list[int]:
     return out
 
 
+@tidy
 def _shard_batches(batches, size: int):
     """Rows come sorted by (anchor, doc, start), all of an anchor in one task: a shard, with an automaton of its own."""
     held: list[tuple] = []
@@ -263,6 +266,7 @@ def _masks(content: DataFrame, crowded: DataFrame, size: int, hot: int) -> DataF
     return few.select("anchor", "content", "earlier").unionByName(many)
 
 
+@tidy
 def _window_batches(batches, size: int):
     """Each window of a class as a row: its words' two hashes and its own place."""
     for batch in batches:
@@ -293,6 +297,7 @@ def _removed(marks: np.ndarray, spans: list[dict], size: int) -> None:
             mask &= ~((1 << run) - 1 << low)
 
 
+@tidy
 def _keep_batches(batches, text: str, size: int):
     for batch in batches:
         for part, texts in slices(batch, text):
@@ -316,6 +321,7 @@ def _keep_batches(batches, text: str, size: int):
             yield pa.RecordBatch.from_arrays([*arrays, *new], [*names, "n_words", "n_removed", "kept"])
 
 
+@tidy
 def _cut_batches(batches, key: str, text: str, size: int, count: str | None):
     """The rows with the removed words cut from their texts, with the white space after them; texts that lose all words go."""
     for batch in batches:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewell.llm._text import bounded_batches, slices
+from tracewell.llm._text import bounded_batches, slices, tidy
 
 #: Fixed values of the TIFF 6.0 format: tags, bytes of the field types, kinds of compression.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -335,6 +335,7 @@ def write_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor:
     return bytes(out)
 
 
+@tidy
 def _read_batches(batches, media: str):
     for batch in batches:
         rows, number, width, height, samples, kind, data, error = [], [], [], [], [], [], [], []
@@ -417,6 +418,7 @@ def features(page: np.ndarray) -> str:
     return f"mean={mean:.3f};spread={spread:.3f};median={median};entropy={-float((share * np.log2(share)).sum()):.3f};shape={bits:016x}"
 
 
+@tidy
 def _store_batches(batches, rows_per_page: int):
     for batch in batches:
         for part, texts in slices(batch, "text"):
@@ -441,6 +443,7 @@ def store_texts(docs: DataFrame, rows_per_page: int = 4096) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(partial(_store_batches, rows_per_page=rows_per_page), f"doc_id {kind}, n_bytes long, media binary")
 
 
+@tidy
 def _digest_batches(batches):
     for batch in batches:
         rows = []

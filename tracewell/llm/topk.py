@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm._text import bounded_batches, checkpointed
+from tracewell.llm._text import bounded_batches, checkpointed, tidy
 
 K = 10
 SCALE = 1024
@@ -32,6 +32,7 @@ HIGH = 0.75
 COORDINATES = 3
 
 
+@tidy
 def _integer_batches(batches, scale: int):
     for batch in batches:
         vectors = batch.column("embedding")
@@ -111,6 +112,7 @@ def best_of_block(queries: Queries, ids: np.ndarray, matrix: np.ndarray, norm: n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+@tidy
 def _search_batches(batches, queries, k: int):
     """Rows of one block come together (sorted); blocks are flushed at BLOCK rows or when the bucket changes."""
     held: list[tuple] = []
