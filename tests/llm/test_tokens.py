@@ -146,3 +146,24 @@ def test_encode_and_count_tables(spark):
     found = {r["doc_id"]: r["n_tokens"] for r in counts.token_counts(rows(spark), tokenizer_path("piece_bpe_32k.model")).collect()}
     assert found[0] == found[1] == 0 and found[3] > 2000 and None in found
     assert bpe.bpe_encode(rows(spark).limit(0), tokenizer_path("word_bpe_49k.json")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_best_fit_and_mended_plans_are_whole(seed):
+    random = np.random.default_rng(seed)
+    counted = {int(x): int(n) for x, n in zip(random.integers(1, 1025, 40), random.integers(1, 40, 40), strict=True)}
+    plan = packing.min_bin_slack(dict(counted))
+    for found in (packing.best_fit(counted), packing.mended(plan)):
+        used: dict[int, int] = {}
+        for times, need in found:
+            assert times > 0 and sum(x * n for x, n in need) <= 1024
+            for x, n in need:
+                used[x] = used.get(x, 0) + n * times
+        assert used == counted
+    assert sum(t for t, _ in packing.mended(plan)) <= sum(t for t, _ in plan)
+
+
+def test_mending_brings_the_plan_to_the_bound():
+    counted = {700: 300, 345: 2000, 320: 310, 4: 100}
+    plan = packing.mended(packing.min_bin_slack(dict(counted)))
+    assert sum(t for t, _ in plan) <= sum(t for t, _ in packing.best_fit(counted))

@@ -156,6 +156,55 @@ def min_bin_slack(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return plan
 
 
+def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Best fit, longest first, over a table of lengths: equal bins are filled together, so the work depends on the lengths alone."""
+    groups: dict[int, list[tuple[int, dict[int, int]]]] = {}  # room left -> [(bins, {length: how many})]
+
+    def put(room: int, bins: int, need: dict[int, int]) -> None:
+        if bins:
+            groups.setdefault(room, []).append((bins, need))
+
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        for room in [*sorted(r for r in groups if r >= length), capacity]:  # the tightest first, new bins last
+            each = room // length  # a bin that takes one is the tightest for the next
+            opened = groups.pop(room, []) if room < capacity else [(-(-left // each), {})]
+            for bins, need in opened:
+                whole = min(bins, left // each)
+                put(room - each * length, whole, {**need, length: each})
+                left -= whole * each
+                bins -= whole
+                if bins and left:  # fewer than a bin takes
+                    put(room - left * length, 1, {**need, length: left})
+                    bins, left = bins - 1, 0
+                put(room, bins, need)
+    return [(bins, sorted(need.items(), reverse=True)) for room in sorted(groups) for bins, need in groups[room]]
+
+
+def mended(plan: list[tuple[int, list[tuple[int, int]]]], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The plan with its last bins packed anew: when only lengths are left that don't add up, short ones went too early.
+
+    The bins with room and some of the latest full ones are taken apart and packed by best fit; the
+    fewest bins win, the plan as it was among them.
+    """
+    room = [capacity - sum(x * k for x, k in need) for _, need in plan]
+    open_bins = sum(times for (times, _), r in zip(plan, room, strict=True) if r)
+    best = plan
+    for share in (4, 16, 64):
+        take, kept, counts = share * open_bins, [], {}
+        for (times, need), r in zip(reversed(plan), reversed(room), strict=True):
+            used = times if r else min(times, take)
+            take -= 0 if r else used
+            if times > used:
+                kept.append((times - used, need))
+            for x, k in need if used else []:
+                counts[x] = counts.get(x, 0) + k * used
+        found = [*reversed(kept), *best_fit(counts, capacity)]
+        if sum(t for t, _ in found) < sum(t for t, _ in best):
+            best = found
+    return best
+
+
 def _places(plan: Iterable[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarray]:
     """For each length, rows (first rank, copies in a bin, first sequence, offset in the bin) in the order of ranks."""
     rows: dict[int, list] = {}
@@ -198,7 +247,7 @@ def pack(table: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
     counted = table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `capacity` rows
     counts = {r["length"]: r["n"] for r in counted}
     buckets = max(BUCKETS, -(-sum(counts.values()) // ROWS_A_BUCKET))
-    places = _places(min_bin_slack(counts, capacity))
+    places = _places(mended(min_bin_slack(counts, capacity), capacity))
     dealt = table.withColumn("bucket", F.pmod(F.xxhash64(key, "piece", "start"), F.lit(buckets)))
     sizes = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
