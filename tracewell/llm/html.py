@@ -1,8 +1,8 @@
 """HTML extraction by layout: a tree builder with implied tags, visibility rules, and a text renderer.
 
 The builder closes what a start tag implies closed (paragraphs, list items, table cells and rows,
-options, headings), moves text that stands loose in a table in front of it, and bounds the depth of
-the tree. The renderer leaves out what a browser doesn't show, collapses white space as a browser
+options, headings), moves what stands loose in a table, text or elements, in front of it, and bounds
+the depth of the tree. The renderer leaves out what a browser doesn't show, collapses white space as a browser
 does, keeps blocks apart (a blank line where there is a margin), marks and indents list items, keeps
 preformatted text, and sets table cells in aligned columns, with spans.
 """
@@ -38,6 +38,7 @@ CLOSES_P = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPE_ENDS = frozenset("td th table caption html template object marquee applet".split())
 TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
+IN_TABLE = frozenset("caption colgroup col tbody thead tfoot tr td th script style template".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,65536}+"|'[^']{0,65536}+'|["'])*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -72,14 +73,11 @@ class Builder:
     def text(self, text: str) -> None:
         if not text:
             return
+        if self.open[-1].tag == "colgroup" and not text.isspace():
+            self.open.pop()
         top = self.open[-1]
         if top.tag in TABLE_PARTS and len(self.open) > 1:
-            if text.isspace():
-                return
-            at = max(i for i, n in enumerate(self.open) if n.tag == "table" or i == 0)
-            if at:  # loose text in a table stands before it
-                before = self.open[at - 1].children
-                before.insert(len(before) - 1, text)
+            if text.isspace() or self._before_table(text):
                 return
         if top.tag == "head":
             if text.isspace():
@@ -88,6 +86,24 @@ class Builder:
             top = self.open[-1]
         top.children.append(text)
 
+    def _before_table(self, child: Node | str) -> bool:
+        """Puts what stands loose in a table in front of it."""
+        at = max(i for i, n in enumerate(self.open) if n.tag == "table" or i == 0)
+        if at:
+            before = self.open[at - 1].children
+            before.insert(len(before) - 1, child)
+        return at > 0
+
+    def _leave_loose(self) -> None:
+        """Closes the loose elements, or the column group, that are open in a table outside of its cells."""
+        for i in range(len(self.open) - 1, 0, -1):
+            tag = self.open[i].tag
+            if tag in TABLE_PARTS:
+                del self.open[i + 1 :]
+                return
+            if tag in ("td", "th", "caption", "template"):
+                return
+
     def _close(self, tags: frozenset[str] | set[str], ends: frozenset[str] | set[str]) -> bool:
         """Closes up to the nearest open element of `tags`, unless one of `ends` is nearer."""
         for i in range(len(self.open) - 1, 0, -1):
@@ -119,12 +135,17 @@ class Builder:
             self._close({"a"}, SCOPE_ENDS | BLOCKS)
         elif tag in ("td", "th"):
             self._close({"td", "th", "caption"}, {"table", "tr"})
+            self._leave_loose()
             if self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 self._push(Node("tr"))
         elif tag == "tr":
             self._close({"tr"}, {"table"}) or self._close({"caption"}, {"table"})
+            self._leave_loose()
         elif tag in ("tbody", "thead", "tfoot", "caption", "colgroup"):
             self._close({"tbody", "thead", "tfoot", "caption"}, {"table"}) or self._close({"tr"}, {"table"})
+            self._leave_loose()
+        elif tag != "col" and self.open[-1].tag == "colgroup":
+            self.open.pop()
 
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
@@ -139,6 +160,15 @@ class Builder:
             return
         self._imply(tag)
         node = Node(tag, _attributes(raw))
+        if self.open[-1].tag in TABLE_PARTS and tag not in IN_TABLE:
+            if tag == "table":  # a table directly in another one ends it
+                self.end("table")
+            elif tag == "form" and any(n.tag == "table" for n in self.open):
+                return  # holds nothing there: its rows and cells are the table's
+            elif self._before_table(node):
+                if tag not in VOID and len(self.open) < MAX_DEPTH:
+                    self.open.append(node)
+                return
         if tag in VOID:
             self.open[-1].children.append(node)
         else:
@@ -149,7 +179,8 @@ class Builder:
             self.start("br", "")
         elif tag == "p":
             if not self._close({"p"}, SCOPE_ENDS | {"button"}):
-                self.open[-1].children.append(Node("p"))
+                if self.open[-1].tag not in TABLE_PARTS:
+                    self.open[-1].children.append(Node("p"))
         elif tag in ("html", "body") or tag in VOID:
             return
         elif tag in HEADINGS:
@@ -357,7 +388,11 @@ class Renderer:
         for row in rows:
             cells, column, fresh = [], 0, {}
             for cell in row.children:
-                if isinstance(cell, str) or cell.tag not in ("td", "th") or hidden(cell):
+                if isinstance(cell, str) or hidden(cell):
+                    continue
+                if cell.tag not in ("td", "th"):
+                    self.node(cell)
+                    self.gap(1)
                     continue
                 while taken.get(column):
                     column += 1
