@@ -4,12 +4,15 @@ An Aho-Corasick automaton enumerates every vocabulary piece in a word; a dynamic
 best score and the number of pieces at each position. Ties are the library's: at one end position
 the piece with the earliest start is kept, a later one only if its score is strictly higher; a
 character that no piece of one character covers is an unknown; neighbouring unknowns are one; with
-byte fallback they count their bytes. Words are what stands between spaces, each led by the
-vocabulary's space mark, so the count of a word never depends on its neighbours and is kept.
+byte fallback they count their bytes. A text is cut before each run of spaces, which stays with the
+word after it as space marks, for a piece may hold several marks. No piece spans such a cut, so the
+count of a word with its run doesn't depend on its neighbours and is kept; under a vocabulary with
+pieces that do span it, texts are counted uncut.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache, partial
 
 import pyarrow as pa
@@ -104,9 +107,35 @@ class _Marked(Counter):
         return super().count_word(MARK + word)
 
 
+_LED = re.compile(" ( *[^ ]*)")
+
+
+class _Runs(_Marked):
+    """Counts whole texts: runs of spaces stay together, as in the library's model without a splitting step."""
+
+    def __init__(self, pieces, *rest, **named):
+        super().__init__(pieces, *rest, **named)
+        self.uncut = MARK not in self.singles or any(re.search(f"[^{MARK}]{MARK}", piece) for piece, _ in pieces)
+
+    def count_word(self, word: str) -> int:
+        return super().count_word(word.replace(" ", MARK))
+
+    def count(self, text: str) -> int:
+        if not text:
+            return 0
+        text = text.replace(MARK, " ")
+        if not text.startswith(" "):
+            text = " " + text
+        if self.uncut:
+            return self.count_word(text[1:])
+        memo = self.memo
+        words = _LED.findall(text) if "  " in text else text[1:].split(" ")
+        return sum([memo[w] for w in words])
+
+
 @lru_cache(maxsize=1)
 def counter(path: str) -> Counter:
-    return _Marked(*vocabulary(path))
+    return _Runs(*vocabulary(path))
 
 
 @tidy
