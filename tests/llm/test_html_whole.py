@@ -23,3 +23,17 @@ from tracewell.llm import html
 )
 def test_what_stands_loose_in_a_table_is_shown(page, text):
     assert html.render(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds", "so x=1 holds"),
+        ("<math><semantics><mi>x</mi><annotation encoding=tex>no</annotation><annotation-xml>no</annotation-xml></semantics></math>y", "xy"),
+        ("<math><annotation/><mspace/><mi>x</mi></math>y", "xy"),
+        ("<math hidden><mi>no</mi></math>y<annotation>z</annotation>", "yz"),
+        ("<map name=m><p><a href=a>north</a> <area href=b>south</p></map>", "north south"),
+    ],
+)
+def test_formulas_and_maps_are_shown(page, text):
+    assert html.render(page) == text

@@ -26,7 +26,7 @@ MAX_SPAN = 100
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes plaintext".split())
 ESCAPABLE_RAW = frozenset("title textarea".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes datalist param source track link meta base area object audio video canvas svg math map rp".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes datalist param source track link meta base area object audio video canvas svg rp".split())
 IN_HEAD = frozenset("html head title script style template noscript link meta base".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split()
@@ -160,6 +160,12 @@ class Builder:
             return
         self._imply(tag)
         node = Node(tag, _attributes(raw))
+        if (tag.startswith("annotation") or raw.endswith("/")) and any(n.tag == "math" for n in self.open):
+            if tag in ("annotation", "annotation-xml"):
+                node.attributes["hidden"] = ""
+            if raw.endswith("/"):
+                self.open[-1].children.append(node)
+                return
         if self.open[-1].tag in TABLE_PARTS and tag not in IN_TABLE:
             if tag == "table":  # a table directly in another one ends it
                 self.end("table")
