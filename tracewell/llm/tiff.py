@@ -368,9 +368,12 @@ def _read_batches(batches, media: str):
             try:
                 file = _File(value)
                 for tags in file.directories():
-                    page = _page(file, tags)
-                    add(row, n, page, None)
-                    n, held = n + 1, held + page.nbytes
+                    try:
+                        page, problem = _page(file, tags), None
+                    except TiffError as e:  # the next directory's place is known
+                        page, problem = None, str(e)
+                    add(row, n, page, problem)
+                    n, held = n + 1, held + (page.nbytes if page is not None else 0)
                     if held > 8 << 20:
                         yield made()
                         held = 0
@@ -383,8 +386,9 @@ def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
     """One row for each page of the TIFF files in a binary column, with all other columns.
 
     Adds page (from 0), width, height, samples, kind (of the samples), pixels (row by row, machine
-    order) and error. A file that is cut short or no TIFF gives its good pages and then one row with
-    the error; a null gives none. Rows are independent; repeated rows repeat. A column of `df` with
+    order) and error. A page that can't be read gives a row with its error, and the pages after it
+    follow. A file that is no TIFF, or whose chain of directories is broken, gives its pages up to there
+    and then one row with the error; a null gives none. Rows are independent; repeated rows repeat. A column of `df` with
     the name of an added one must be renamed first, else ValueError.
     """
     added = {"page": "int", "width": "int", "height": "int", "samples": "int", "kind": "string", "pixels": "binary", "error": "string"}
