@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.plans.stored import stored
+
 SOURCES = ("warehouse", "seed_file", "computed", "declared")  # from the most trusted list to the least
 THIN_FLOOR = 8
+CUT = 6  # rounds of a loop after which its tables are stored, which bounds their plans
 
 
 def relation_key(column: str) -> Column:
@@ -31,44 +34,58 @@ def parent_edges(nodes: DataFrame) -> DataFrame:
     return nodes.select("uid", F.posexplode("parents").alias("ord", "parent"))
 
 
-def topo_levels(edges: DataFrame, nodes: DataFrame, most: int = 500) -> DataFrame:
+def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(uid, level): the longest way to a node from one without parents, by relaxation; `edges` is (uid, parent).
 
-    One round for each level: the nodes that the last round raised raise their children. Circles stop at
-    `most` rounds.
+    One round for each level, until none is left: the nodes that the last round raised raise their
+    children. A round raises none that the round before didn't, so once two raise equally many, only
+    nodes in circles or behind them are left, and these keep the level of that round.
     """
     level = nodes.select("uid", F.lit(0).alias("level")).distinct()
     known = nodes.select(F.col("uid").alias("parent")).distinct()
     edges = edges.join(known, "parent", "left_semi").select("uid", "parent").distinct().persist()
-    raised, rounds = level, [level]
-    for step in range(1, most):
+    raised, out, step, before = level, level, 0, None
+    held: list[DataFrame] = []
+    while True:
+        step += 1
         raised = raised.select(F.col("uid").alias("parent")).join(edges, "parent").select("uid", F.lit(step).alias("level")).distinct().persist()
-        if raised.isEmpty():
-            break
-        rounds.append(raised)
-    out = rounds[0]
-    for more in rounds[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("uid").agg(F.max("level").alias("level"))
-
-
-def read_through(edges: DataFrame, through: DataFrame, most: int = 100) -> DataFrame:
+        held.append(raised)
+        count = raised.count()
+        if count:
+            out = out.unionByName(raised)
+        if count in (0, before):
+            return out.groupBy("uid").agg(F.max("level").alias("level"))
+        before = count
+        if step % CUT == 0:
+            raised, out = stored(raised), stored(out.groupBy("uid").agg(F.max("level").alias("level")))
+            while held:
+                held.pop().unpersist()
+
+
+def read_through(edges: DataFrame, through: DataFrame) -> DataFrame:
     """(uid, parent, path): parents with each node of `through` (uid) replaced by its own parents, in place.
 
-    `path` orders a node's parents as their places in the project's order would.
+    `path` orders a node's parents as their places in the project's order would. Loops until no node of
+    `through` is left; a way that comes back to a node it has passed is dropped, so circles end.
     """
-    marked = through.select(F.col("uid").alias("parent"), F.lit(True).alias("skipped"))
+    marked = through.select(F.col("uid").alias("parent"), F.lit(True).alias("skipped")).distinct()
     inner = edges.select(F.col("uid").alias("parent"), F.col("parent").alias("then"), F.col("ord").alias("then_ord"))
-    open_, done = edges.select("uid", "parent", F.array("ord").alias("path")), None
-    for _ in range(most):
+    open_, done, step = edges.select("uid", "parent", F.array("ord").alias("path"), F.array("uid").alias("passed")), None, 0
+    held: list[DataFrame] = []
+    while True:
+        step += 1
         split = open_.join(marked, "parent", "left").persist()
+        held.append(split)
         direct = split.filter("skipped is null").select("uid", "parent", "path")
         done = direct if done is None else done.unionByName(direct)
-        rest = split.filter("skipped")
+        rest = split.filter("skipped").filter(~F.array_contains("passed", F.col("parent")))
         if rest.isEmpty():
-            break
-        open_ = rest.join(inner, "parent").select("uid", F.col("then").alias("parent"), F.concat("path", F.array("then_ord")).alias("path"))
-    return done.groupBy("uid", "parent").agg(F.min("path").alias("path"))
+            return done.groupBy("uid", "parent").agg(F.min("path").alias("path"))
+        open_ = rest.join(inner, "parent").select("uid", F.col("then").alias("parent"), F.concat("path", F.array("then_ord")).alias("path"), F.concat("passed", F.array("parent")).alias("passed"))
+        if step % CUT == 0:
+            open_, done = stored(open_), stored(done.groupBy("uid", "parent").agg(F.min("path").alias("path")))
+            while held:
+                held.pop().unpersist()
 
 
 def best_lists(lists: DataFrame) -> DataFrame:
