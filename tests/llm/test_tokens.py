@@ -167,3 +167,21 @@ def test_mending_brings_the_plan_to_the_bound():
     counted = {700: 300, 345: 2000, 320: 310, 4: 100}
     plan = packing.mended(packing.min_bin_slack(dict(counted)))
     assert sum(t for t, _ in plan) <= sum(t for t, _ in packing.best_fit(counted))
+
+
+def test_every_plain_character_encodes_as_in_the_library():
+    path = tokenizer_path("word_bpe_49k.json")
+    library = bpe.library(path)
+    texts = [f"{a}{c}{b}" for c in bpe._PLAIN for a, b in ((":", ":"), ("a", "b"), (" ", " "), ("1", "2"))] + [f":{chr(c)}:" for c in range(0x80, 0x2100)]
+    for text, (got, decoded) in zip(texts, bpe.ChunkEncoder(path).encode(texts), strict=True):
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert ids(got) == expected, text
+        assert decoded.decode() == library.decode(expected, skip_special_tokens=False)
+
+
+def test_a_long_text_without_white_space():
+    path = tokenizer_path("word_bpe_49k.json")
+    random = np.random.default_rng(4)
+    text = "".join(chr(97 + x) for x in random.integers(0, 26, 60_000)) + "." + "ab" * 20_000
+    (got, _), *_ = bpe.ChunkEncoder(path).encode([text])
+    assert ids(got) == bpe.library(path).encode(text, add_special_tokens=False).ids

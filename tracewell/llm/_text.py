@@ -6,9 +6,13 @@ at most `limit` bytes of text (or one single longer text), which bounds the memo
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
+import re
+import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +35,33 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         return
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`; one of our own only where that is unset and all tasks run in this process."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
+_written: list[list[DataFrame]] = []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written once to the shared checkpoint folder and read again, which cuts its lineage."""
-    context = df.sparkSession.sparkContext
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        shared = "/tmp/checkpoints"
-    path = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
+    if _written:
+        _written[-1].append(out)
     return out
 
 
@@ -52,6 +73,24 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def spent_tables() -> Iterator[None]:
+    """Deletes at the end all tables that were written inside, but not those that a `checkpointed` before or after it made."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        release(*_written.pop())
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """`name`, with as many marks behind it as it takes to differ from all `columns`, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_size_check(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """`df` marked for broadcast if its counted rows fit in `limit` bytes; else left to a shuffled join."""
     from pyspark.sql import functions as F

@@ -2,11 +2,12 @@
 
 Texts are cut into content-defined chunks: a rolling hash over sixteen bytes decides where a chunk
 ends, so that a passage shared by several documents is cut alike in each. A chunk is encoded once
-and its ids are reused wherever it appears again. The word that straddles two chunks is a join: it
-is put together again and re-encoded whole, out to the white space at both its ends, where this
-tokenizer's ids never depend on what stands beyond; from there on the chunks' own ids agree.
+in a task and its ids are reused wherever that task meets it again. The word that straddles two
+chunks is a join: it is put together again and re-encoded whole, out to the white space at both its
+ends. Agreement is exact from there on: this tokenizer splits a text at every white space before it
+merges anything, and a merge never leaves its piece, so the ids of a word depend on the word alone.
 
-Chunks and words are kept per worker, up to fixed numbers of entries, so memory is bounded and no
+Chunks and words are kept for one task, up to fixed numbers of entries, so memory is bounded and no
 text is shuffled. Texts with characters outside a well-understood set are encoded by the
 `tokenizers` library itself.
 """
@@ -26,8 +27,12 @@ from tracewell.llm._text import Recent, bounded_batches, slices, tidy, view
 
 ENCODED = "ids binary, decoded string"
 
-#: Characters whose class, case and normal form are the same in every Unicode version; others go to the library.
-UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įı-ɏ‐-―‘-‟†-•…€]")
+#: Characters whose class, case and normal form are the same in every Unicode version.
+_KNOWN = re.compile("[\t\n\r\x20-\x7e¡-¬®-įı-ɏ‐-―‘-‟†-•…€]")
+#: Of those, the ones whose lower case is among them too; texts with any other character go to the library.
+_PLAIN = "".join(c for c in map(chr, range(0x2100)) if _KNOWN.match(c) and all(map(_KNOWN.match, c.lower())))
+UNUSUAL = re.compile(f"[^{re.escape(_PLAIN)}]")
+LONG_WORD, MAX_CHUNK = 256, 8192  # bytes; longer words and chunks are encoded, but not kept
 LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
 NUMBER = "0-9²³¹¼-¾"
 _WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+")
@@ -98,7 +103,8 @@ class ChunkEncoder:
 
     def __init__(self, path: str, chunk_bytes: int = 512, words: int = 250_000, chunks: int = 8_000):
         self.path, self.mask = path, np.uint32(chunk_bytes - 1)
-        self.words, self.chunks = Recent(_word_maker(path), words), Recent(self._chunk, chunks)
+        self.make = _word_maker(path)
+        self.words, self.chunks = Recent(self.make, words), Recent(self._chunk, chunks)
         self.table = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
@@ -121,32 +127,39 @@ class ChunkEncoder:
             return parts[0], None, b"", b""
         first = parts.pop(0) if open_left else b""
         last = parts.pop() if open_right else b""
-        words = self.words
-        found = [words[w] for w in parts]
+        found = [self._word(w) for w in parts]
         return first, last, b"".join([x[0] for x in found]), b" ".join([x[1] for x in found])
 
+    def _word(self, word: bytes) -> tuple[bytes, bytes]:
+        return self.words[word] if len(word) <= LONG_WORD else self.make(word)
+
     def _document(self, data: bytes, ends: list[int]) -> tuple[bytes, bytes]:
-        ids, decoded, held, at = [], [], b"", 0
-        words, chunks = self.words, self.chunks
+        ids, decoded, held, at = [], [], [], 0
+        chunks = self.chunks
+
+        def join() -> None:  # the whole word, from white space to white space
+            found = self._word(held[0] if len(held) == 1 else b"".join(held))
+            ids.append(found[0])
+            decoded.append(found[1])
+            held.clear()
+
         for end in [*ends, len(data)]:
             chunk = data[at:end]
             at = end
-            first, last, inner, text = chunks[chunk]
-            held += first
+            first, last, inner, text = chunks[chunk] if len(chunk) <= MAX_CHUNK else self._chunk(chunk)
+            if first:
+                held.append(first)
             if last is None:
                 continue
-            if held:  # the join: the whole word, from white space to white space
-                found = words[held]
-                ids.append(found[0])
-                decoded.append(found[1])
+            if held:
+                join()
             if inner:
                 ids.append(inner)
                 decoded.append(text)
-            held = last
+            if last:
+                held.append(last)
         if held:
-            found = words[held]
-            ids.append(found[0])
-            decoded.append(found[1])
+            join()
         return b"".join(ids), b" ".join(decoded)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
@@ -189,7 +202,8 @@ def _encode_batches(batches, path: str, text: str):
 def bpe_encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, `ids` (binary, little-endian unsigned 32-bit) and `decoded` of each whole text.
 
-    A null or empty text gives no ids and an empty decoded text. Rows are independent: repeated rows
+    A null or empty text gives no ids and an empty decoded text; a text of any length, with or without
+    white space, is encoded whole. Rows are independent: repeated rows
     give repeated results, null keys are kept, an empty table gives an empty table, and columns
     other than the key and the text are left out, whatever their names.
     """
