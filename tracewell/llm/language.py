@@ -23,7 +23,7 @@ BUCKETS = 1 << 14
 ORDERS = (2, 3)
 SMOOTHING = 0.5
 SLICE = 512  # buckets in one row of counts
-MAX_LANGUAGES = 512
+MAX_LANGUAGES = 512  # a matrix of 32 MB
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -100,9 +100,16 @@ class Model:
 
 
 def fit(training: DataFrame, buckets: int = BUCKETS) -> Model:
-    """Learns from the columns text and lang; rows with a null in either are left out."""
+    """Learns from the columns text and lang; rows with a null in either are left out, repeated rows count as often as they appear.
+
+    Any string is a language, the empty one and `und` too. The model has a column for each, so that
+    its size, and the broadcast's, is bounded only by their number: more than MAX_LANGUAGES raise
+    ValueError before a text is read, since such a column doesn't hold languages.
+    """
     schema = "lang string, slice int, documents long, counts binary"
     rows = training.filter("text is not null and lang is not null").select("text", "lang")
+    if rows.select("lang").distinct().count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     partial_counts = rows.mapInArrow(partial(_count_batches, buckets=buckets), schema)
     summed = partial_counts.groupBy("lang", "slice").applyInArrow(_sum_counts, schema)
     found: dict[str, dict] = {}
@@ -110,8 +117,6 @@ def fit(training: DataFrame, buckets: int = BUCKETS) -> Model:
     for r in summed.toLocalIterator():  # languages x buckets numbers, whatever the number of texts
         found.setdefault(r["lang"], {})[r["slice"]] = np.frombuffer(bytes(r["counts"]), "<i8")
         documents[r["lang"]] = documents.get(r["lang"], 0) + r["documents"]
-        if len(found) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
     names = sorted(found)
     if not names:
         return Model([], np.zeros(0), np.zeros((buckets, 0), np.float32))
@@ -121,7 +126,7 @@ def fit(training: DataFrame, buckets: int = BUCKETS) -> Model:
 
 
 def score(texts: pa.LargeStringArray, model: Model) -> tuple[list[str], np.ndarray]:
-    """The likeliest language and its posterior, tempered by the square root of the number of n-grams."""
+    """The language of the highest posterior, and its share of the posteriors tempered by the square root of the number of n-grams."""
     n = len(texts)
     if not model.names:
         return [UNDETERMINED] * n, np.zeros(n)
@@ -130,8 +135,9 @@ def score(texts: pa.LargeStringArray, model: Model) -> tuple[list[str], np.ndarr
     total = np.empty((n, len(model.names)))
     for j in range(len(model.names)):
         total[:, j] = np.bincount(owner, model.log_probability[bucket, j], n)
-    scaled = total / np.sqrt(np.maximum(grams, 1))[:, None] + model.log_prior
-    best = scaled.argmax(axis=1)
+    total += model.log_prior
+    best = total.argmax(axis=1)
+    scaled = total / np.sqrt(np.maximum(grams, 1))[:, None]
     weight = np.exp(scaled - scaled.max(axis=1, keepdims=True))
     confidence = 1 / weight.sum(axis=1)
     names = [model.names[b] for b in best]
@@ -155,7 +161,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
     A text that is null or has no letter is `und` with score 0, and so is every text if nothing was
     learned. A text too short for an n-gram gets the commonest language. Equal posteriors go to the
-    first name in sorted order. Repeated rows get equal results; other columns are left out.
+    first name in sorted order. A learned language may be named `und` itself. Texts of any length are
+    read whole. Repeated rows get equal results; null ids are kept; other columns are left out.
     """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -174,7 +181,10 @@ def _filter_batches(batches, model, text: str, least: float):
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows, with all columns, whose text has a language with a score of at least `least`. One narrow pass over the texts."""
+    """The rows, with all columns, whose text has a language with a score of at least `least`. One narrow pass over the texts.
+
+    Texts without a letter go, null and empty ones among them, and so do all if nothing was learned.
+    """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(partial(_filter_batches, model=sent, text=text, least=least), docs.schema)
