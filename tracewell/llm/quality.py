@@ -1,10 +1,10 @@
 """Quality classifier: ridge regression on random Fourier features, with isotonic calibration.
 
-Statistics of whole texts are computed in one pass. Labelled rows give normal equations per
-partition, which are summed (their size depends on the number of features alone) and solved; random
-Fourier features approximate a Gaussian kernel over the standardised statistics. Each half of the
-training rows is scored by a model of the other half, and isotonic regression of the labels on those
-scores maps scores to probabilities.
+Statistics of the whole texts of labelled rows give normal equations per partition, which are summed
+(their size depends on the number of features alone) and solved; random Fourier features approximate
+a Gaussian kernel over the standardised statistics. Each half of the training rows is scored by a
+model of the other half, and isotonic regression of the labels on those scores maps scores to
+probabilities. One more pass measures and scores all texts.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, slices, span_hashes, tidy, view, word_spans
+from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, release, slices, span_hashes, tidy, view, word_spans
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -90,20 +90,20 @@ def statistics(texts: pa.LargeStringArray) -> np.ndarray:
 
 
 @tidy
-def _statistic_batches(batches):
+def _statistic_batches(batches, keep: list[str], text: str):
     for batch in batches:
-        for part, texts in slices(batch, "text", 1 << 20):
+        for part, texts in slices(batch, text, 1 << 20):
             rows = statistics(texts)
             flat = pa.array(rows.ravel())
             offsets = pa.array(np.arange(0, rows.size + 1, N_STATISTICS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "statistics"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(offsets, flat)], [*keep, "statistics"])
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and statistics (an array of N_STATISTICS numbers) of every whole text."""
+def text_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns `keep`, and statistics (an array of N_STATISTICS numbers) of every whole text."""
     bounded_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_statistic_batches, f"doc_id {kind}, statistics array<double>")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, text).mapInArrow(partial(_statistic_batches, keep=list(keep), text=text), f"{kinds}, statistics array<double>")
 
 
 def _matrix(column) -> np.ndarray:
@@ -165,11 +165,15 @@ def _cross_batches(batches, features: Features, weights: tuple[np.ndarray, np.nd
 
 
 def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the best rising step function, pooled from adjacent violators: (mean score of a pool, its mean label)."""
-    order = np.argsort(score, kind="stable")
+    """Knots of the best rising step function, pooled from adjacent violators: (mean score of a pool, its mean label).
+
+    Rows of one score are one pool from the start, so the order of the rows doesn't matter.
+    """
+    values, of, rows = np.unique(score, return_inverse=True, return_counts=True)
+    labels = np.bincount(of, label, len(values))
     pools: list[list[float]] = []  # [sum of labels, sum of scores, rows]
-    for s, y in zip(score[order].tolist(), label[order].tolist(), strict=True):
-        pools.append([y, s, 1.0])
+    for s, y, n in zip(values.tolist(), labels.tolist(), rows.tolist(), strict=True):
+        pools.append([y, s * n, float(n)])
         while len(pools) > 1 and pools[-2][0] * pools[-1][2] >= pools[-1][0] * pools[-2][2]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
@@ -188,39 +192,48 @@ class Model:
         return np.clip(np.interp(self.features(x) @ self.weights, *self.knots), 0, 1)
 
 
-def fit(labelled: DataFrame, training_rows: int = TRAINING_ROWS) -> Model | None:
-    """Learns from (doc_id, statistics, quality 0 or 1); None without rows. At most about `training_rows` rows, by hash."""
-    n = labelled.count()
-    if not n:
+def fit(labelled: DataFrame) -> Model | None:
+    """Learns from (doc_id, statistics, quality 0 or 1); None without rows."""
+    half = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int").alias("half")
+    rows = checkpointed(labelled.repartition(PARTITIONS, "doc_id").select("statistics", "quality", half))
+    moments = sum((np.frombuffer(bytes(r[0]), np.float64) for r in rows.mapInArrow(_moment_batches, "sums binary").collect()), np.zeros(1 + 2 * N_STATISTICS))
+    if not moments[0]:
+        release(rows)
         return None
-    spread = 1_000_000
-    if n > training_rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(spread)) < int(spread * training_rows / n))
-    rows = checkpointed(labelled.select("statistics", "quality", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int").alias("half")).coalesce(PARTITIONS))
-    moments = sum(np.frombuffer(bytes(r[0]), np.float64) for r in rows.mapInArrow(_moment_batches, "sums binary").collect())
-    count, one, two = max(moments[0], 1), moments[1 : 1 + N_STATISTICS], moments[1 + N_STATISTICS :]
+    count, one, two = moments[0], moments[1 : 1 + N_STATISTICS], moments[1 + N_STATISTICS :]
     mean = one / count
     features = Features(mean, np.sqrt(np.maximum(two / count - mean**2, 1e-6)))
     width = FEATURES + 1
     sums = sum(np.frombuffer(bytes(r[0]), np.float64) for r in rows.mapInArrow(partial(_equation_batches, features=features), "sums binary").collect())
     sums = sums.reshape(2, width, width + 2)
     halves = solve(sums[0]), solve(sums[1])
-    crossed = rows.mapInArrow(partial(_cross_batches, features=features, weights=halves), "score double, quality double").toPandas()  # at most about training_rows pairs
+    crossed = rows.mapInArrow(partial(_cross_batches, features=features, weights=halves), "score double, quality double").toPandas()  # as many pairs as training rows
+    release(rows)
     return Model(features, solve(sums[0] + sums[1]), isotonic(crossed["score"].to_numpy(), crossed["quality"].to_numpy()))
 
 
 @tidy
 def _score_batches(batches, model):
     for batch in batches:
-        score = model.value(_matrix(batch.column("statistics"))) if model.value else np.full(len(batch), 0.5)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+        for part, texts in slices(batch, "text", 1 << 20):
+            score = model.value(statistics(texts)) if model.value else np.full(len(part), 0.5)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
 
-def learn_quality(measured: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> Model | None:
-    """A model from the labels (doc_id, quality) of documents that are not held out and their statistics."""
+def learn_quality(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> Model | None:
+    """A model from the labels (doc_id, quality) of documents that are not held out.
+
+    At most about `training_rows` labels, chosen by a hash of their ids, teach; only their texts are
+    measured. They go out in a broadcast, which that number bounds. A repeated label teaches as often
+    as it stands there, and so does a repeated document; contradicting labels both count.
+    """
     taught = labels.filter("quality in (0, 1)").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    taught = taught.select("doc_id", F.col("quality").cast("int").alias("quality"))
-    return fit(measured.join(taught, "doc_id"), training_rows)
+    taught = taught.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality"))
+    n, spread = taught.count(), 1_000_000
+    if n > training_rows:
+        taught = taught.filter(F.pmod(F.xxhash64("label_id", F.lit(3)), F.lit(spread)) < int(spread * training_rows / n))
+    met = docs.select("doc_id", "text").join(F.broadcast(taught), F.col("doc_id") == F.col("label_id"))
+    return fit(text_statistics(met.select("doc_id", "quality", "text"), ("doc_id", "quality")))
 
 
 @tidy
@@ -231,7 +244,10 @@ def _filter_batches(batches, model, text: str):
 
 
 def keep_good(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The rows, with all columns, whose text scores 0.5 or more; all rows without a model. One narrow pass over the texts."""
+    """The rows, with all columns, whose text scores 0.5 or more; all rows without a model. One narrow pass over the texts.
+
+    Null and empty texts are scored like others; repeated rows stay or go together.
+    """
     if model is None:
         return docs
     bounded_batches(docs.sparkSession)
@@ -244,13 +260,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, training_rows: int = TRAIN
 
     Null and empty texts are scored by their statistics, which are defined. Rows with a null id are
     scored and not held out; null labels and labels other than 0 and 1 teach nothing; repeated rows
-    get equal scores. Without a label to learn from every score is 0.5. Other columns are left out.
+    and equal texts get equal scores. Without a label to learn from every score is 0.5. Other columns
+    are left out, whatever their names.
     """
-    spark = docs.sparkSession
-    measured = checkpointed(text_statistics(docs))
-    model = learn_quality(measured, labels, training_rows)
-    sent = spark.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(learn_quality(docs, labels, training_rows))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = measured.mapInArrow(partial(_score_batches, model=sent), f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(partial(_score_batches, model=sent), f"doc_id {kind}, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
