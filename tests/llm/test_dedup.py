@@ -168,3 +168,37 @@ def test_hash_of_a_word_is_the_same_anywhere():
     assert hashes[0] == hashes[2] and hashes[1] == hashes[3] and hashes[0] != hashes[1]
     assert first.tolist() == [0, 2, 4]
     assert hashlib.sha256(b"").hexdigest()
+
+
+def brute_rows(rows, k=5):
+    """Every row as a document of its own: (key, class, copy, links)."""
+    one = brute_links([(i, t) for i, (_, t) in enumerate(rows)], k)
+    sets = {i: frozenset(zip(*[WORD.findall(t or "")[j:] for j in range(k)], strict=False)) or tuple(WORD.findall(t or "")) for i, (_, t) in enumerate(rows)}
+    out = []
+    for i, (key, text) in enumerate(rows):
+        group = [rows[j][0] for j in one if one[j][0] == one[i][0]]
+        copies = [rows[j][0] for j in one if sets[j] == sets[i]] if WORD.search(text or "") else [key]
+        out.append((key, min(group) if WORD.search(text or "") else key, min(copies), one[i][1]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [1, 3, 40])
+def test_join_of_repeated_rows_and_keys(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, text), (1, text), (2, text + " extra"), (1, "five other words and more of them"), (3, "five other words and more of them"), (2, text + " extra"), (2, text + " or this"), (9, ""), (9, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, cluster int")
+    found = sorted((r["doc_id"], r["class_id"], r["copy_id"], r["n_links"]) for r in jaccard.jaccard_join(docs).collect())
+    assert found == brute_rows(rows)
+    assert (2, 1, 2, 4) in found and found.count((1, 1, 1, 4)) == 2
+
+
+def test_long_chains_are_compared_by_bucket(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 2)
+    r = random.Random(8)
+    words = [f"w{r.randint(0, 10**6)}" for _ in range(500)]
+    rows = [(i, " ".join(words[6 * i : 6 * i + 80])) for i in range(60)]  # each is like its neighbours only
+    copies = [(1000 + i, " ".join([*words[:80], f"x{i}"])) for i in range(20)]
+    docs = spark.createDataFrame([*rows, *copies], "doc_id long, text string")
+    found = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard.jaccard_join(docs).collect()}
+    assert found == brute_links([*rows, *copies])

@@ -9,7 +9,7 @@ from tracewell.llm._text import checkpointed, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node of each node's component, for an edge table (a long, b long).
+    """(node, component): the smallest node of each node's component, for an edge table (a, b) of nodes of any ordered type.
 
     Each round every node joins the neighbour that a hash of that round puts first, and the edges
     between the joined nodes remain; the number of edges falls by a constant factor on average, so

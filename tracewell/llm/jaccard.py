@@ -2,13 +2,17 @@
 
 1. One pass over the texts: the set of word n-grams as 64-bit hashes, MinHash values, band keys.
    Texts with the same set are one copy class, met by an aggregation; its smallest key stands for it.
-2. Band keys that several classes share make candidate clusters. Each member is tied to the least
-   member of its bucket, so a bucket of m classes gives m - 1 rows, never m * m.
-3. A cluster is cut into blocks of bounded size by hash, and every pair of its blocks is one group of
-   rows. In a group, MinHash values are compared sixteen at a time; a pair is dropped as soon as the
-   posterior probability that its similarity reaches the threshold (uniform prior) is below the
-   tolerance; the pairs left are verified exactly on their sets. A group puts out one row for each
-   class with links (how many, and the least class it hangs together with), not its pairs.
+   A class is named by two hashes of its set.
+2. Classes that share a band key, a bucket, are candidates. Each is tied to the least class of its
+   bucket, so a bucket of m classes gives m - 1 rows, never m * m; ties make clusters.
+3. A cluster is compared whole or bucket by bucket, whichever copies fewer rows: whole where buckets
+   overlap much (copies of one text), by bucket where they form long chains. What is compared is cut
+   into blocks of bounded size by hash, and every pair of its blocks is one group of rows. In a group,
+   pairs that share no band are left out, or, in a bucket, those that an earlier band has; so either
+   way the same pairs are compared, each once. MinHash values are compared sixteen at a time; a pair
+   is dropped as soon as the posterior probability that its similarity reaches the threshold (uniform
+   prior) is below the tolerance; the pairs left are verified exactly on their sets. A group puts out
+   one row for each class with links (how many, and a class it hangs together with), not its pairs.
 4. Link counts are summed, and the groups' ties give the classes of the join by components.
 """
 
@@ -31,7 +35,8 @@ THRESHOLD = 0.8
 TOLERANCE = 1e-6
 HASHES, BANDS, ROWS = 128, 25, 5
 STEP = 16
-BLOCK_CLASSES, BLOCK_SHINGLES = 512, 500_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 128, 500_000
+ROWS_A_TASK = 2000
 
 _RANDOM = np.random.default_rng(2024)
 _FACTORS = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -66,8 +71,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each row and band."""
-    used = signature[:, : BANDS * ROWS].astype(np.uint64).reshape(len(signature), BANDS, ROWS)
+    """One 64-bit key for each row and band, of the lower halves of the band's values."""
+    used = (signature[:, : BANDS * ROWS].astype(np.uint64) & np.uint64(0xFFFF)).reshape(len(signature), BANDS, ROWS)
     with np.errstate(over="ignore"):
         key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)
         for r in range(ROWS):
@@ -109,7 +114,7 @@ def _member_batches(batches, k: int):
             chosen = [sets[i] for i in full]
             short = (signatures(chosen) & np.uint32(0xFFFF)).astype(np.uint16)
             kept = part.take(pa.array(full))
-            names = ["cluster", "blocks", "block", "rep", "copies"]
+            names = ["one", "two", "cluster", "copies", "units"]
             new = [pa.array([row.tobytes() for row in short], pa.binary()), pa.array([s.tobytes() for s in chosen], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(kept.column(n) for n in names), *new], [*names, "signature", "shingles"])
 
@@ -129,13 +134,21 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
     return out
 
 
-def candidate_pairs(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold: Fraction, tolerance: float, upper: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that the sizes allow and the incremental comparison of MinHash values keeps; upper: only i < j."""
+def candidate_pairs(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold: Fraction, tolerance: float, upper: bool, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs with a common band (`band` < 0) or with `band` as the first, that the sizes allow and the incremental comparison of MinHash values keeps; upper: only i < j."""
     p, q = threshold.numerator, threshold.denominator
     low, high = np.minimum(size_a[:, None], size_b[None, :]), np.maximum(size_a[:, None], size_b[None, :])
     alive = low * q >= high * p
     if upper:
         alive &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
+    keys_a, keys_b = band_keys(a), band_keys(b)
+    common = lambda k: keys_a[:, k, None] == keys_b[None, :, k]
+    if band < 0:
+        alive &= np.logical_or.reduce([common(k) for k in range(BANDS)])
+    else:
+        alive &= common(band)
+        for k in range(band):
+            alive &= ~common(k)
     least = least_matches(float(threshold), tolerance)
     i, j = np.nonzero(alive)
     matches = np.zeros(len(i), np.int16)
@@ -186,13 +199,13 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np
     return total[i, j].astype(np.int64)
 
 
-def linked(a: list[tuple], b: list[tuple] | None, threshold: Fraction, tolerance: float) -> list[tuple[int, int, int]]:
-    """(class, documents it is linked to, least class it hangs together with) in one group of rows (class, copies, signature, set)."""
+def linked(a: list[tuple], b: list[tuple] | None, threshold: Fraction, tolerance: float, band: int) -> list[tuple]:
+    """(class, documents it is linked to, a class it hangs together with) in one group of rows (class, copies, signature, set)."""
     other = a if b is None else b
     sign = [np.frombuffer(b"".join([x[2] for x in side]), np.uint16).reshape(len(side), HASHES) for side in (a, other)]
     sets = [[np.frombuffer(x[3], np.uint64) for x in side] for side in (a, other)]
     sizes = [np.array([len(s) for s in side], np.int64) for side in sets]
-    i, j = candidate_pairs(*sign, *sizes, threshold, tolerance, b is None)
+    i, j = candidate_pairs(*sign, *sizes, threshold, tolerance, b is None, band)
     if not len(i):
         return []
     common = common_counts(*sets, i, j)
@@ -201,10 +214,10 @@ def linked(a: list[tuple], b: list[tuple] | None, threshold: Fraction, tolerance
     i, j = i[keep], j[keep]
     shift = 0 if b is None else len(a)
     nodes = a if b is None else [*a, *b]
-    name, copies = np.array([x[0] for x in nodes], np.int64), np.array([x[1] for x in nodes], np.int64)
+    copies = np.array([x[1] for x in nodes], np.int64)
     j = j + shift
     links = np.bincount(i, copies[j], len(nodes)) + np.bincount(j, copies[i], len(nodes))
-    root = name.copy()
+    root = np.arange(len(nodes))
     while True:
         least = np.minimum(root[i], root[j])
         new = root.copy()
@@ -213,40 +226,49 @@ def linked(a: list[tuple], b: list[tuple] | None, threshold: Fraction, tolerance
         if (new == root).all():
             break
         root = new
-    return [(int(name[x]), int(links[x]), int(root[x])) for x in np.flatnonzero(links)]
+    return [(*nodes[x][0], int(links[x]), *nodes[root[x]][0]) for x in np.flatnonzero(links)]
+
+
+LINKS = "one long, two long, links long, root_one long, root_two long"
 
 
 @tidy
 def _group_batches(batches, threshold: Fraction, tolerance: float):
-    """Rows come sorted by (cluster, low, high, block, rep), each group of (cluster, low, high) whole in a task."""
+    """Rows come sorted by (cluster, band, bucket, low, high, block, class), each group of the first five whole in a task."""
     key, sides, found = None, {}, []
 
     def finish():
         if key is None:
             return
-        low, high = key[1], key[2]
+        band, low, high = key[2], key[4], key[5]
         if low == high:
-            found.extend(linked(sides[low], None, threshold, tolerance) if len(sides[low]) > 1 else [])
+            found.extend(linked(sides[low], None, threshold, tolerance, band) if len(sides[low]) > 1 else [])
         elif low in sides and high in sides:
-            found.extend(linked(sides[low], sides[high], threshold, tolerance))
+            found.extend(linked(sides[low], sides[high], threshold, tolerance, band))
 
     def rows():
-        arrays = [pa.array([x[c] for x in found], pa.int64()) for c in range(3)]
+        arrays = [pa.array([x[c] for x in found], pa.int64()) for c in range(5)]
         found.clear()
-        return pa.RecordBatch.from_arrays(arrays, ["rep", "links", "root"])
+        return pa.RecordBatch.from_arrays(arrays, ["one", "two", "links", "root_one", "root_two"])
 
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("cluster", "low", "high", "block", "rep", "copies", "signature", "shingles")]
-        for cluster, low, high, block, rep, copies, signature, shingles in zip(*columns, strict=True):
-            if key != (cluster, low, high):
+        columns = [batch.column(n).to_pylist() for n in ("cluster_one", "cluster_two", "band", "bucket", "low", "high", "block", "one", "two", "copies", "signature", "shingles")]
+        for *group, block, one, two, copies, signature, shingles in zip(*columns, strict=True):
+            if key != group:
                 finish()
-                key, sides = (cluster, low, high), {}
-            sides.setdefault(block, []).append((rep, copies, signature, shingles))
+                key, sides = group, {}
+            side = sides.setdefault(block, [])
+            if not side or side[-1][0] != (one, two):  # rows with one key and one text give a class several times
+                side.append(((one, two), copies, signature, shingles))
         yield rows()
     finish()
     yield rows()
 
 
+def _blocks(n: str, total: str):
+    return F.greatest(F.ceil(F.col(n) / BLOCK_CLASSES), F.ceil(F.col(total) / BLOCK_SHINGLES)).cast("int")
+
+
 def jaccard_join(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
 ) -> DataFrame:
@@ -259,7 +281,8 @@ def jaccard_join(
     tolerance; no pair below the threshold is ever linked.
 
     Words are runs without bytes 9-13 and 32, unchanged. A text of fewer words is one shingle; a null
-    or empty text has none and no links. Repeated rows count as copies. Rows with a null key have
+    or empty text has none and no links. Every row is a document: repeated rows count as copies, and
+    rows with one key and different texts are joined each by its own text. Rows with a null key have
     null ids and no links. Keys are integers; columns other than key and text are left out, whatever
     their names. An empty table gives an empty table.
     """
@@ -270,36 +293,49 @@ def jaccard_join(
     classes = checkpointed(
         profile.groupBy("one", "two", "size").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     )
-    keys = checkpointed(classes.select("rep", F.explode("bands").alias("band")))
-    shared = keys.groupBy("band").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "least")
-    ties = keys.join(shared, "band").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    clusters = connected_components(ties).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    members = checkpointed(clusters.join(classes.select("rep", "copies", "size", "one", "two"), "rep"))
+    node = F.struct("one", "two")
+    keys = checkpointed(classes.select(node.alias("node"), "size", F.posexplode("bands").alias("band", "bucket")))
+    buckets = keys.groupBy("band", "bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).filter("n > 1")
+    met = checkpointed(keys.join(buckets.select("band", "bucket", "least", _blocks("n", "total").alias("blocks")), ["band", "bucket"]).drop("size"))
     release(keys)
-    sums = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    sized = members.join(sums.select("cluster", blocks.alias("blocks")), "cluster")
-    sized = sized.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("size")
-    n_members = members.count()
-    read = known.join(with_size_check(sized, n_members, 72), known["doc"] == sized["rep"])
-    filled = read.select("text", "cluster", "blocks", "block", "rep", "copies", "one", "two").mapInArrow(
-        partial(_member_batches, k=words), "cluster long, blocks int, block int, rep long, copies long, signature binary, shingles binary"
-    )
-    filled = checkpointed(filled)
-    paired = filled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "copies", "signature", "shingles")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_members // 4000))
-    dealt = paired.repartition(parts, "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "block", "rep")
-    found = checkpointed(dealt.mapInArrow(partial(_group_batches, threshold=exact, tolerance=tolerance), "rep long, links long, root long"))
-    release(filled, members)
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = connected_components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    joined = joined.select(F.col("node").alias("rep"), F.col("component"))
-    named = classes.select("one", "two", "rep", "copies").join(links, "rep", "left").join(joined, "rep", "left")
-    named = named.select(
-        "one", "two", F.col("rep").alias("copy_id"), F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    clusters = connected_components(met.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    members = clusters.select("node.*", F.col("component").alias("cluster")).join(classes.drop("bands"), ["one", "two"])
+    members = checkpointed(members)
+    placed = met.join(clusters.select("node", F.col("component").alias("cluster")), "node")
+    apart = placed.groupBy("cluster").agg(F.sum("blocks").alias("apart"))  # rows if it is compared by bucket
+    whole = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    whole = whole.select("cluster", _blocks("n", "total").alias("blocks"), "n", (F.col("n") * _blocks("n", "total")).alias("whole"))
+    ways = checkpointed(whole.join(apart, "cluster").withColumn("by_bucket", F.col("apart") < F.col("whole")))
+    unit = lambda band, bucket, blocks: F.struct(band.cast("int").alias("band"), bucket.cast("long").alias("bucket"), blocks.alias("blocks"))
+    one = members.join(ways.filter("not by_bucket"), "cluster").select("one", "two", F.array(unit(F.lit(-1), F.lit(0), F.col("blocks"))).alias("units"))
+    many = placed.join(ways.filter("by_bucket").select("cluster"), "cluster", "left_semi")
+    many = many.groupBy("node").agg(F.collect_list(unit(F.col("band"), F.col("bucket"), F.col("blocks"))).alias("units"))  # at most BANDS
+    sized = members.select("one", "two", "cluster", "rep", "copies").join(one.unionByName(many.select("node.*", "units")), ["one", "two"])
+    counted = ways.agg(F.sum("n").alias("members"), F.sum(F.least("apart", "whole")).alias("rows")).first()
+    n_rows = counted["rows"] or 0
+    read = known.join(with_size_check(sized, 1, 96 * (counted["members"] or 0) + 24 * n_rows), known["doc"] == sized["rep"])
+    units = "array<struct<band: int, bucket: long, blocks: int>>"
+    filled = read.select("text", "one", "two", "cluster", "copies", "units").mapInArrow(
+        partial(_member_batches, k=words), f"one long, two long, cluster struct<one: long, two: long>, copies long, units {units}, signature binary, shingles binary"
     )
+    paired = filled.withColumn("unit", F.explode("units")).withColumn("block", F.pmod(F.xxhash64("one", "two"), F.col("unit.blocks")).cast("int"))
+    paired = paired.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("unit.blocks") - 1)))
+    group = (F.col("cluster.one").alias("cluster_one"), F.col("cluster.two").alias("cluster_two"), "unit.band", "unit.bucket")
+    paired = paired.select(*group, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "one", "two", "copies", "signature", "shingles")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // ROWS_A_TASK))
+    names = ["cluster_one", "cluster_two", "band", "bucket", "low", "high"]
+    dealt = paired.repartition(parts, *names).sortWithinPartitions(*names, "block", "one", "two")
+    found = checkpointed(dealt.mapInArrow(partial(_group_batches, threshold=exact, tolerance=tolerance), LINKS))
+    release(members, met, ways)
+    links = found.groupBy("one", "two").agg(F.sum("links").alias("links"))
+    roots = F.struct(F.col("root_one").alias("one"), F.col("root_two").alias("two"))
+    joined = connected_components(found.select(node.alias("a"), roots.alias("b")).filter("a <> b"))
+    joined = joined.select("node.*", "component").join(classes.select("one", "two", "rep"), ["one", "two"])
+    least = joined.groupBy("component").agg(F.min("rep").alias("class_id"))
+    joined = joined.join(least, "component").select("one", "two", "class_id")
+    named = classes.select("one", "two", "rep", "copies").join(links, ["one", "two"], "left").join(joined, ["one", "two"], "left")
+    named = named.select("one", "two", F.col("rep").alias("copy_id"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     ids = profile.join(named, ["one", "two"]).select(F.col("doc").alias("known"), "class_id", "copy_id", "n_links")
-    bare = docs.select(F.col(key).alias("bare_key"), F.col(text).alias("bare_text")).filter(F.col("bare_key").isNull() | (~F.coalesce(F.col("bare_text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")))
-    bare = bare.select(F.col("bare_key").cast("long").alias("known"), F.col("bare_key").cast("long").alias("class_id"), F.col("bare_key").cast("long").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    bare = docs.select(F.col(key).cast("long").alias("known"), F.col(text).alias("bare")).filter(F.col("known").isNull() | ~F.coalesce(F.col("bare"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
+    bare = bare.select("known", F.col("known").alias("class_id"), F.col("known").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
     return ids.unionByName(bare).withColumnRenamed("known", key)
