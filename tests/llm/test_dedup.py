@@ -54,8 +54,18 @@ def test_cut_keeps_what_stands_between(spark):
     docs = spark.createDataFrame([(1, f"one\n{passage} end", 5), (2, f"two\t{passage}\n\nlast  words", 5), (3, passage, 5), (4, None, 0), (5, "kept  as\tis", 1)], "doc_id long, text string, n_chars int")
     found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in substrings.cut_repeats(docs, count="n_chars").collect()}
     assert found == {1: (f"one\n{passage} end", 5), 2: ("two\tlast  words", 15), 4: (None, 0), 5: ("kept  as\tis", 1)}
-    with pytest.raises(ValueError):
-        substrings.cut_repeats(docs.withColumnRenamed("n_chars", "Spans"))
+    clashing = docs.withColumnRenamed("n_chars", "Spans").withColumn("doc", docs["doc_id"]).withColumn("version", docs["text"])
+    again = substrings.cut_repeats(clashing)
+    assert again.columns == ["doc_id", "text", "Spans", "doc", "version"]
+    assert {r["doc_id"]: (r["text"], r["Spans"]) for r in again.collect()} == {k: (t, n if k != 2 else 5) for k, (t, n) in found.items()}
+
+
+def test_rows_of_one_key_keep_their_own_words(spark):
+    passage, others = " ".join(f"p{i}" for i in range(25)), " ".join(f"o{i}" for i in range(40))
+    rows = [(1, f"{passage} end"), (5, f"{passage} tail"), (5, others), (7, f"x {others}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"], r["n_words"], r["kept"]) for r in substrings.drop_repeats(docs).collect())
+    assert found == sorted([(1, 26, f"{passage} end"), (5, 26, "tail"), (5, 40, others), (7, 41, "x")])
 
 
 def test_automaton_matches():

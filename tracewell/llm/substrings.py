@@ -28,14 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, release, slices, span_hashes, tidy, view, word_spans
+from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, release, slices, span_hashes, tidy, unused, view, word_spans
 
 SIZE = 20
 GRAM = 5
 HOT = 400
 SHARD_CLASSES = 4_000
 
-SEGMENTS = "doc long, start int, windows int, anchor long, content long"
+SEGMENTS = "doc long, version long, start int, windows int, anchor long, content long"
 
 
 def _minimizers(order: np.ndarray, width: int) -> np.ndarray:
@@ -81,9 +81,9 @@ def _segment_batches(batches, text: str, size: int):
             data, at = view(texts)
             starts, ends, first = word_spans(data, at)
             owner, start, windows, anchor, content = segments_of(span_hashes(data, starts, ends), first, size)
-            doc = part.column(0).take(pa.array(owner, pa.int64()))
-            arrays = [doc, pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor), pa.array(content)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc", "start", "windows", "anchor", "content"])
+            row = pa.array(owner, pa.int64())
+            arrays = [part.column("doc").take(row), part.column("version").take(row), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor), pa.array(content)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc", "version", "start", "windows", "anchor", "content"])
 
 
 @tidy
@@ -212,26 +212,28 @@ def _shard_batches(batches, size: int):
 
 
 def removal_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, hot: int = HOT) -> DataFrame:
-    """(doc, start, windows): runs of windows to remove, `start` in words of the whole text; a run covers windows + size - 1 words."""
+    """(doc, version, start, windows, removed): which windows to remove, `start` in words of the whole text, `version` a hash of the text.
+
+    Bit i of `removed` is the window at start + i; a window covers `size` words.
+    """
     if not 2 <= size <= 62:
         raise ValueError("a window has 2 to 62 words")
     bounded_batches(docs.sparkSession)
-    known = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    known = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("version"), F.col(text).alias("text"))
     segments = checkpointed(known.mapInArrow(partial(_segment_batches, text="text", size=size), SEGMENTS))
     repeated = checkpointed(segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
     kept = checkpointed(segments.join(repeated.hint("merge"), "anchor", "left_semi"))
     release(segments, repeated)
     # classes of equal content, each with its earliest place
-    place = F.struct("doc", "start")
-    first = kept.groupBy("anchor", "content", "windows").agg(F.min(place).alias("first"))
+    first = kept.groupBy("anchor", "content", "windows").agg(F.min(F.struct("doc", "start", "version")).alias("first"))
     first = checkpointed(first)
     crowded = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     crowded = checkpointed(crowded)
-    several = first.join(crowded.hint("merge"), "anchor").select("anchor", "content", "windows", "first.doc", "first.start", "classes")
+    several = first.join(crowded.hint("merge"), "anchor").select("anchor", "content", "windows", "first.doc", "first.version", "first.start", "classes")
     several = checkpointed(several)
-    asked = several.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "anchor", "content", "classes")).alias("asked"))
+    asked = several.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "windows", "anchor", "content", "classes")).alias("asked"))
     content = (
-        known.join(asked.hint("merge"), "doc")
+        known.join(asked.hint("merge"), ["doc", "version"])
         .select("doc", "text", "asked")
         .mapInArrow(partial(_content_batches, text="text", size=size), "doc long, start int, windows int, anchor long, content long, words binary")
     )
@@ -243,8 +245,8 @@ def removal_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     release(first, content, crowded)
     spans = kept.join(marked.hint("merge"), ["anchor", "content"])
     whole = F.expr("shiftleft(1L, windows) - 1")
-    removed = F.when(F.struct("doc", "start") == F.col("first"), F.col("earlier")).otherwise(whole)
-    return spans.select("doc", "start", "windows", removed.alias("removed")).filter("removed <> 0")
+    earliest = (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start"))
+    return spans.select("doc", "version", "start", "windows", F.when(earliest, F.col("earlier")).otherwise(whole).alias("removed")).filter("removed <> 0")
 
 
 def _masks(content: DataFrame, crowded: DataFrame, size: int, hot: int) -> DataFrame:
@@ -322,14 +324,14 @@ def _keep_batches(batches, text: str, size: int):
 
 
 @tidy
-def _cut_batches(batches, key: str, text: str, size: int, count: str | None):
+def _cut_batches(batches, text: str, size: int, count: str | None, mark: str):
     """The rows with the removed words cut from their texts, with the white space after them; texts that lose all words go."""
     for batch in batches:
         for part, texts in slices(batch, text):
             data, at = view(texts)
             starts, ends, first = word_spans(data, at)
             raw, out, stay = data.tobytes(), [], []
-            for row, spans in enumerate(part.column("spans").to_pylist()):
+            for row, spans in enumerate(part.column(mark).to_pylist()):
                 if not spans:
                     out.append(None)
                     stay.append(True)
@@ -353,44 +355,48 @@ def _cut_batches(batches, key: str, text: str, size: int, count: str | None):
                     columns.append(pc.if_else(changed, new, part.column(name).cast(pa.string())))
                 elif name == count:
                     columns.append(pc.if_else(changed, pc.utf8_length(new).cast(pa.int64()), part.column(name).cast(pa.int64())))
-                elif name != "spans":
+                elif name != mark:
                     columns.append(part.column(name))
-            names = [n for n in part.schema.names if n != "spans"]
+            names = [n for n in part.schema.names if n != mark]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stay))
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """The documents with their array of spans; both sides are shuffled by the key, however small one is."""
-    grouped = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "removed")).alias("spans"))
+def _with_spans(docs: DataFrame, spans: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """The documents with their array of spans as column `name`; both sides are shuffled by key and text's hash, however small one is."""
+    doc, version = unused("doc", docs.columns), unused("version", docs.columns)
+    grouped = spans.groupBy(F.col("doc").alias(doc), F.col("version").alias(version)).agg(F.collect_list(F.struct("start", "removed")).alias(name))
     grouped = checkpointed(grouped)
-    return docs.join(grouped.hint("merge"), F.col(key).cast("long") == F.col("doc"), "left").drop("doc")
+    same = (F.col(key).cast("long") == F.col(doc)) & (F.xxhash64(F.col(text)) == F.col(version))
+    return docs.join(grouped.hint("merge"), same, "left").drop(doc, version)
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str | None = None, size: int = SIZE, hot: int = HOT) -> DataFrame:
     """The same columns, with repeated windows cut from the texts; `count` names a column with the number of characters, kept true.
 
     What stands between kept words stays as it is. Documents that lose all their words go; all others
-    stay, with or without words. Columns named `doc` or `spans` raise ValueError; else as `drop_repeats`.
+    stay, with or without words, with all their other columns, whatever their names. Else as
+    `drop_repeats`.
     """
-    if clash := {"doc", "spans"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} would clash")
     bounded_batches(docs.sparkSession)
-    joined = _with_spans(docs, removal_spans(docs, key, text, size, hot), key)
-    typed = [F.col(c).cast("long").alias(c) if c == count else F.col(c) for c in joined.columns]
+    mark = unused("spans", docs.columns)
+    joined = _with_spans(docs, removal_spans(docs, key, text, size, hot), key, text, mark)
+    typed = [F.col(f"`{c}`").cast("long").alias(c) if c == count else F.col(f"`{c}`") for c in joined.columns]
     schema = ", ".join(f"`{f.name}` {'bigint' if f.name == count else f.dataType.simpleString()}" for f in docs.schema)
-    return joined.select(*typed).mapInArrow(partial(_cut_batches, key=key, text=text, size=size, count=count), schema)
+    return joined.select(*typed).mapInArrow(partial(_cut_batches, text=text, size=size, count=count, mark=mark), schema)
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, hot: int = HOT) -> DataFrame:
     """Key, n_words, n_removed and `kept`: each text's words without those that a repeated window covers, one space between.
 
     Words are runs without bytes 9-13 and 32, unchanged. A null or empty text has none; a text with
-    fewer than `size` words keeps all. Rows with one key should be one text; neither removes from the
-    other. Rows with a null key are kept whole. Ties can't occur otherwise: a place is a key and a
-    word. Columns other than key and text are left out, whatever their names.
+    fewer than `size` words keeps all. A place is a key and a word's number, and the smaller place
+    keeps its words: repeated rows have equal places and keep theirs alike; rows with one key and
+    different texts count as one document, each keeps or loses the words of its own text. Rows with a
+    null key are kept whole and take no part. Columns other than key and text are left out, whatever
+    their names.
     """
     kept = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text"))
-    joined = _with_spans(kept, removal_spans(docs, key, text, size, hot), "doc_key").select("doc_key", "text", "spans")
+    joined = _with_spans(kept, removal_spans(docs, key, text, size, hot), "doc_key", "text", "spans").select("doc_key", "text", "spans")
     kind = docs.schema[key].dataType.simpleString()
     out = joined.mapInArrow(partial(_keep_batches, text="text", size=size), f"doc_key {kind}, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("doc_key", key)
