@@ -26,16 +26,16 @@ STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 273, 277, 278, 279
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
 TYPE_CODES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
-MAX_PAGE_BYTES = 1 << 30
+PAGE_BYTES = 256 << 20  # the most that a decoded page, a strip or a tile may take, so that a task's memory is bounded
 
 
 class TiffError(ValueError):
     """A file that is no TIFF, is cut short, or uses what this reader doesn't."""
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and (most is None or len(out) < most):
         n = data[at]
         at += 1
         if n < 128:
@@ -71,9 +71,9 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
+def unpack_lzw(data: bytes, most: int | None = None) -> bytes:
     """Most significant bits first, 9 to 12 bits a code, widened one code early; 256 clears, 257 ends."""
-    out, table, width, held, bits = [], [], 9, 0, 0
+    out, made, table, width, held, bits = [], 0, [], 9, 0, 0
     base, before = [bytes([i]) for i in range(256)] + [b"", b""], b""
     table = list(base)
     for byte in data:
@@ -94,7 +94,10 @@ def unpack_lzw(data: bytes) -> bytes:
         else:
             raise TiffError("a code beyond the LZW table")
         out.append(entry)
-        if before:
+        made += len(entry)
+        if most is not None and made >= most:
+            break
+        if before and len(table) < 4096:
             table.append(before + entry[:1])
         before = entry
         width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
@@ -148,11 +151,11 @@ def _decode(data: bytes, kind: int, size: int) -> bytes:
     if kind == PLAIN:
         out = data
     elif kind == LZW:
-        out = unpack_lzw(data)
+        out = unpack_lzw(data, size)
     elif kind in (DEFLATE, OLD_DEFLATE):
         out = _inflate(data, size)
     elif kind == PACKBITS:
-        out = unpack_bits(data)
+        out = unpack_bits(data, size)
     else:
         raise TiffError(f"compression {kind}")
     if len(out) < size:
@@ -176,10 +179,9 @@ class _File:
             raise TiffError("no TIFF")
 
     def read(self, code: str, at: int, n: int = 1) -> tuple:
-        form = f"{self.order}{n}{code}"
-        if at < 0 or at + struct.calcsize(form) > len(self.data):
+        if at < 0 or at + n * struct.calcsize(f"={code}") > len(self.data):
             raise TiffError("the file is cut short")
-        return struct.unpack_from(form, self.data, at)
+        return struct.unpack_from(f"{self.order}{n}{code}", self.data, at)
 
     def directories(self) -> Iterator[dict[int, tuple]]:
         at, seen = self.first, set()
@@ -190,9 +192,9 @@ class _File:
             seen.add(at)
             n = self.read("Q" if self.big else "H", at)[0]
             begin = at + (8 if self.big else 2)
-            if n * entry > len(self.data):
+            if begin + n * entry > len(self.data):
                 raise TiffError("the file is cut short")
-            tags = {}
+            tags: dict[int, tuple | TiffError] = {}
             for k in range(n):
                 here = begin + k * entry
                 tag, kind = self.read("H", here, 2)
@@ -205,14 +207,19 @@ class _File:
                 else:
                     continue
                 if count * struct.calcsize(f"={code}") > inner:
-                    value_at = self.read(word, value_at)[0]
-                tags[tag] = self.read(code, value_at, count)
+                    value_at = self.read("Q" if self.big else "I", value_at)[0]
+                try:
+                    tags[tag] = self.read(code, value_at, count)
+                except TiffError as e:  # tells of the page, not of those after it
+                    tags[tag] = e
             yield tags
             at = self.read(word, begin + n * entry)[0]
 
 
 def _undo(raw: bytes, rows: int, columns: int, samples: int, kind: np.dtype, predictor: int) -> np.ndarray:
     if predictor == 3:
+        if kind.kind != "f":
+            raise TiffError("predictor 3 without floating-point samples")
         size = kind.itemsize
         planes = np.frombuffer(raw, np.uint8).reshape(rows, size * columns, samples)
         planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, size, columns * samples)
@@ -221,6 +228,8 @@ def _undo(raw: bytes, rows: int, columns: int, samples: int, kind: np.dtype, pre
     values = np.frombuffer(raw, kind).reshape(rows, columns, samples)
     values = values.astype(kind.newbyteorder("="))
     if predictor == 2:
+        if kind.kind == "f":
+            raise TiffError("predictor 2 with floating-point samples")
         return np.cumsum(values, axis=1, dtype=values.dtype)
     if predictor not in (0, 1):
         raise TiffError(f"predictor {predictor}")
@@ -233,30 +242,39 @@ def _one_bit(raw: bytes, rows: int, columns: int, bits: int) -> np.ndarray:
     return (cells @ weight).astype(np.uint8)[:, :columns]
 
 
-def _page(file: _File, tags: dict[int, tuple]) -> np.ndarray:
-    try:
-        width, height = tags[WIDTH][0], tags[HEIGHT][0]
-    except (KeyError, IndexError) as e:
-        raise TiffError("a directory without a size") from e
-    samples, bits = tags.get(SAMPLES, (1,))[0], tags.get(BITS, (1,))[0]
-    if len(set(tags.get(BITS, (1,)))) > 1:
-        raise TiffError("samples of different sizes")
-    form = {1: "u", 2: "i", 3: "f"}.get(tags.get(SAMPLE_FORMAT, (1,))[0], "u")
+def _numbers(tags: dict[int, tuple], tag: int, *otherwise: int) -> tuple[int, ...]:
+    """The whole numbers of a field, at least one, none negative; without `otherwise` the field must be there."""
+    found = tags.get(tag, otherwise)
+    if isinstance(found, TiffError):
+        raise found
+    if not found or not all(isinstance(x, int) and x >= 0 for x in found):
+        raise TiffError(f"field {tag} is missing or no whole number")
+    return found
+
+
+def _page(file: _File, tags: dict[int, tuple], page_bytes: int) -> np.ndarray:
+    one = lambda tag, *otherwise: _numbers(tags, tag, *otherwise)[0]
+    width, height, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
+    if len(set(_numbers(tags, BITS, 1))) > 1 or len(set(_numbers(tags, SAMPLE_FORMAT, 1))) > 1:
+        raise TiffError("samples of different kinds")
+    form = {1: "u", 2: "i", 3: "f"}.get(one(SAMPLE_FORMAT, 1), "u")
     if bits not in (1, 2, 4, 8, 16, 32, 64) or not 1 <= samples <= 1024 or (form == "f" and bits < 16):
         raise TiffError(f"{samples} samples of {bits} bits")
-    if not width or not height or width * height * samples * max(bits // 8, 1) > MAX_PAGE_BYTES:
+    if not width or not height or width * height * samples * max(bits // 8, 1) > page_bytes:
         raise TiffError(f"{width} x {height} pixels")
     kind = np.dtype(f"{file.order}{form}{max(bits // 8, 1)}")
-    compression, predictor = tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0]
-    planar = tags.get(PLANAR, (1,))[0] == 2 and samples > 1
+    compression, predictor = one(COMPRESSION, 1), one(PREDICTOR, 1)
+    planar = one(PLANAR, 1) == 2 and samples > 1
     inner = 1 if planar else samples
-    if TILE_OFFSETS in tags:
-        tall, wide = tags[TILE_HEIGHT][0], tags[TILE_WIDTH][0]
-        offsets, sizes = tags[TILE_OFFSETS], tags[TILE_BYTES]
+    tiled = TILE_OFFSETS in tags
+    if tiled:
+        tall, wide = one(TILE_HEIGHT), one(TILE_WIDTH)
+        offsets, sizes = _numbers(tags, TILE_OFFSETS), _numbers(tags, TILE_BYTES)
     else:
-        tall, wide = min(tags.get(ROWS_PER_STRIP, (height,))[0], height), width
-        offsets, sizes = tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_BYTES, ())
-    if not tall or not wide or tall * wide * inner * kind.itemsize > MAX_PAGE_BYTES:
+        tall, wide = min(one(ROWS_PER_STRIP, height), height), width
+        offsets, sizes = _numbers(tags, STRIP_OFFSETS), _numbers(tags, STRIP_BYTES)
+    line = -(-wide * inner * bits // 8)
+    if not tall or not wide or tall * wide * inner * kind.itemsize > page_bytes:
         raise TiffError("a strip or tile without a size")
     across, down = -(-width // wide), -(-height // tall)
     if len(offsets) < across * down * (samples if planar else 1) or len(sizes) < len(offsets):
@@ -265,8 +283,7 @@ def _page(file: _File, tags: dict[int, tuple]) -> np.ndarray:
     for number in range(across * down * (samples if planar else 1)):
         plane, place = divmod(number, across * down)
         top, left = place // across * tall, place % across * wide
-        rows = tall if TILE_OFFSETS in tags else min(tall, height - top)
-        line = -(-wide * inner * bits // 8)
+        rows = tall if tiled else min(tall, height - top)
         if offsets[number] + sizes[number] > len(file.data):
             raise TiffError("the file is cut short")
         raw = _decode(file.data[offsets[number] : offsets[number] + sizes[number]], compression, rows * line)
@@ -280,10 +297,10 @@ def _page(file: _File, tags: dict[int, tuple]) -> np.ndarray:
     return out
 
 
-def read_pages(data: bytes) -> list[np.ndarray]:
+def read_pages(data: bytes, page_bytes: int = PAGE_BYTES) -> list[np.ndarray]:
     """Every page as (height, width, samples)."""
     file = _File(data)
-    return [_page(file, tags) for tags in file.directories()]
+    return [_page(file, tags, page_bytes) for tags in file.directories()]
 
 
 def write_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 256, tile: int = 0, order: str = "<", level: int = 1) -> bytes:
@@ -336,7 +353,7 @@ def write_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor:
 
 
 @tidy
-def _read_batches(batches, media: str):
+def _read_batches(batches, media: str, page_bytes: int):
     for batch in batches:
         rows, number, width, height, samples, kind, data, error = [], [], [], [], [], [], [], []
 
@@ -369,7 +386,7 @@ def _read_batches(batches, media: str):
                 file = _File(value)
                 for tags in file.directories():
                     try:
-                        page, problem = _page(file, tags), None
+                        page, problem = _page(file, tags, page_bytes), None
                     except TiffError as e:  # the next directory's place is known
                         page, problem = None, str(e)
                     add(row, n, page, problem)
@@ -382,21 +399,23 @@ def _read_batches(batches, media: str):
         yield made()
 
 
-def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
+def tiff_pages(df: DataFrame, media: str = "media", page_bytes: int = PAGE_BYTES) -> DataFrame:
     """One row for each page of the TIFF files in a binary column, with all other columns.
 
     Adds page (from 0), width, height, samples, kind (of the samples), pixels (row by row, machine
     order) and error. A page that can't be read gives a row with its error, and the pages after it
     follow. A file that is no TIFF, or whose chain of directories is broken, gives its pages up to there
-    and then one row with the error; a null gives none. Rows are independent; repeated rows repeat. A column of `df` with
-    the name of an added one must be renamed first, else ValueError.
+    and then one row with the error; a null gives none. Fields that are missing, of a wrong type or
+    without values, and a page of more than `page_bytes` decoded bytes, are such errors: no file ends
+    a task. Rows are independent; repeated rows repeat. A column of `df` with the name of an added one
+    must be renamed first, else ValueError.
     """
     added = {"page": "int", "width": "int", "height": "int", "samples": "int", "kind": "string", "pixels": "binary", "error": "string"}
     if clash := added.keys() & {c.lower() for c in df.columns}:
         raise ValueError(f"columns {sorted(clash)} would clash")
     bounded_batches(df.sparkSession, 256)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != media)
-    return df.mapInArrow(partial(_read_batches, media=media), ", ".join([kept, *(f"{a} {b}" for a, b in added.items())]))
+    return df.mapInArrow(partial(_read_batches, media=media, page_bytes=page_bytes), ", ".join([kept, *(f"{a} {b}" for a, b in added.items())]))
 
 
 PIXELS = 576
