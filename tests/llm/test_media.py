@@ -147,7 +147,7 @@ def test_layout():
         ("<div>a</div><div>b</div>", "a\nb"),
         ("a<br><br>b", "a\n\nb"),
         ("<select><option>x<option>y</select>", "x\ny"),
-        ("<template>no</template><noscript>no</noscript><svg><text>no</text></svg>yes", "yes"),
+        ("<template>no</template><noscript>no</noscript><svg><title>no</title><text>yes</text></svg>yes", "yes yes"),
         ("<textarea>\n a &amp; b</textarea>", "\n a & b".strip("\n")),
         ("<a href='x>y'>link</a>", "link"),
         ("<table><tr><td>日本<td>x<tr><td>abcdef<td>y</table>", "日本    x\nabcdef  y"),
