@@ -185,3 +185,12 @@ def test_a_long_text_without_white_space():
     text = "".join(chr(97 + x) for x in random.integers(0, 26, 60_000)) + "." + "ab" * 20_000
     (got, _), *_ = bpe.ChunkEncoder(path).encode([text])
     assert ids(got) == bpe.library(path).encode(text, add_special_tokens=False).ids
+
+
+def test_one_key_and_text_for_all_rows_is_packed_over_many_buckets(spark):
+    docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "'the same text' as text").repartition(4)
+    got = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    length = got.first()["length"]
+    per = 1024 // length
+    places = {(r["sequence_id"], r["offset"]) for r in got.collect()}
+    assert len(places) == 4000 and len({s for s, _ in places}) == -(-4000 // per)

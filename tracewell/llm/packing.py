@@ -7,8 +7,9 @@
    program over bitsets finds the fullest combination with the longest length left. The combination
    is taken as often as the counts allow, and removed. The plan has a few thousand rows.
 3. Each piece takes the place that its rank among the pieces of its length gives it. Ranks are
-   counted within (length, bucket) groups, buckets by hash, so a length that most pieces share is
-   dealt over many tasks.
+   counted within (length, bucket) groups; a piece's bucket is a hash that was written with it, of
+   its place in the table too, so a length, a key or a text that most pieces share is dealt over
+   many tasks.
 """
 
 from __future__ import annotations
@@ -238,25 +239,28 @@ def _place_batches(batches, places: dict[int, np.ndarray]):
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
 
-def pack(table: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+def pack(table: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, deal: str | None = None) -> DataFrame:
     """Adds `sequence_id` and `offset` to a table of pieces (key, piece, start, length, and further columns).
 
-    The table is read twice, so it should be a written one. Equal rows are interchangeable. An empty
-    table gives an empty table.
+    `deal` names a column of evenly spread whole numbers that buckets come from, which is left out of
+    the result; without one, equal rows share a bucket. The table is read twice, so it must be a
+    written one. Equal rows are interchangeable. An empty table gives an empty table.
     """
     counted = table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `capacity` rows
     counts = {r["length"]: r["n"] for r in counted}
     buckets = max(BUCKETS, -(-sum(counts.values()) // ROWS_A_BUCKET))
     places = _places(mended(min_bin_slack(counts, capacity), capacity))
-    dealt = table.withColumn("bucket", F.pmod(F.xxhash64(key, "piece", "start"), F.lit(buckets)))
+    columns = [f for f in table.schema if f.name != deal]
+    names = [f.name for f in columns]
+    dealt = table.withColumn("bucket", F.pmod(F.col(deal) if deal else F.xxhash64(*names), F.lit(buckets)))
     sizes = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each length and bucket
     first = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_rank"))
-    within = Window.partitionBy("length", "bucket").orderBy(key, "piece", *[c for c in table.columns if c not in (key, "piece", "length")])
+    within = Window.partitionBy("length", "bucket").orderBy(key, "piece", *[c for c in names if c not in (key, "piece", "length")])
     ranked = dealt.withColumn("at", F.row_number().over(within)).join(F.broadcast(first) if capacity * buckets <= 1 << 20 else first, ["length", "bucket"])
-    ranked = ranked.select(*table.columns, (F.col("first_rank") + F.col("at") - 1).alias("rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
+    ranked = ranked.select(*names, (F.col("first_rank") + F.col("at") - 1).alias("rank"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
     return ranked.mapInArrow(partial(_place_batches, places=places), f"{schema}, sequence_id long, offset long")
 
 
@@ -269,5 +273,6 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     text are left out, whatever their names; an empty table gives an empty table.
     """
     cut = pieces(docs, path, key, text, end_id, capacity)
-    table = checkpointed(cut.select(key, "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
-    return pack(table, key, capacity)
+    deal = F.pmod(F.xxhash64(key, "piece", "start", F.monotonically_increasing_id()), F.lit(1 << 31)).cast("int")
+    table = checkpointed(cut.select(key, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), deal.alias("deal")))
+    return pack(table, key, capacity, "deal")
