@@ -74,15 +74,22 @@ def release(*tables: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def spent_tables() -> Iterator[None]:
-    """Deletes at the end all tables that were written inside, but not those that a `checkpointed` before or after it made."""
+def spent_tables() -> Iterator[list[DataFrame]]:
+    """Lists the tables that `checkpointed` writes inside, and deletes at the end those that are still listed."""
     _written.append([])
     try:
-        yield
+        yield _written[-1]
     finally:
         release(*_written.pop())
 
 
+def kept_only(made: list[DataFrame], df: DataFrame) -> DataFrame:
+    """`df` written, and taken off the list of tables that `spent_tables` deletes."""
+    out = checkpointed(df)
+    made.remove(out)
+    return out
+
+
 def unused(name: str, columns: list[str]) -> str:
     """`name`, with as many marks behind it as it takes to differ from all `columns`, whatever their case."""
     taken = {c.lower() for c in columns}

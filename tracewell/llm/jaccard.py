@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, release, slices, span_hashes, tidy, view, with_size_check, word_spans
+from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, kept_only, mix, release, slices, span_hashes, spent_tables, tidy, unused, view, with_size_check, word_spans
 from tracewell.llm.components import connected_components
 
 WORDS = 5
@@ -98,9 +98,9 @@ def _profile_batches(batches, k: int):
             keys = band_keys(signatures(chosen))
             offsets = pa.array(np.arange(0, BANDS * len(full) + 1, BANDS, dtype=np.int32))
             bands = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
-            doc = part.column("doc").take(pa.array(full, pa.int64()))
+            doc, version = (part.column(n).take(pa.array(full, pa.int64())) for n in ("doc", "version"))
             size = pa.array([len(s) for s in chosen], pa.int32())
-            yield pa.RecordBatch.from_arrays([doc, size, pa.array(one), pa.array(two), bands], ["doc", "size", "one", "two", "bands"])
+            yield pa.RecordBatch.from_arrays([doc, version, size, pa.array(one), pa.array(two), bands], ["doc", "version", "size", "one", "two", "bands"])
 
 
 @tidy
@@ -269,29 +269,14 @@ def _blocks(n: str, total: str):
     return F.greatest(F.ceil(F.col(n) / BLOCK_CLASSES), F.ceil(F.col(total) / BLOCK_SHINGLES)).cast("int")
 
 
-def jaccard_join(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
-) -> DataFrame:
-    """One row for each document: key, `class_id`, `copy_id`, `n_links`.
-
-    Two documents are linked if the Jaccard similarity of their sets of `words`-word shingles is at
-    least `threshold` (copies are linked). `n_links` counts a document's links, `copy_id` is the
-    smallest key among documents with the same set, `class_id` the smallest among all that links
-    connect. A pair at the threshold is missed with a probability of about 5e-5 (bands) plus the
-    tolerance; no pair below the threshold is ever linked.
-
-    Words are runs without bytes 9-13 and 32, unchanged. A text of fewer words is one shingle; a null
-    or empty text has none and no links. Every row is a document: repeated rows count as copies, and
-    rows with one key and different texts are joined each by its own text. Rows with a null key have
-    null ids and no links. Keys are integers; columns other than key and text are left out, whatever
-    their names. An empty table gives an empty table.
-    """
+def _joined(docs: DataFrame, key: str, text: str, words: int, threshold: float, tolerance: float) -> DataFrame:
+    """(doc, version, class_id, copy_id, n_links, stays) of each row: `version` is a hash of its text, `stays` the least (doc, version) of its class."""
     bounded_batches(docs.sparkSession)
     exact = Fraction(threshold).limit_denominator(1000)
-    known = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc is not null")
-    profile = checkpointed(known.mapInArrow(partial(_profile_batches, k=words), "doc long, size int, one long, two long, bands array<long>"))
+    known = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("text")).filter("doc is not null")
+    profile = checkpointed(known.mapInArrow(partial(_profile_batches, k=words), "doc long, version long, size int, one long, two long, bands array<long>"))
     classes = checkpointed(
-        profile.groupBy("one", "two", "size").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+        profile.groupBy("one", "two", "size").agg(F.min(F.struct("doc", "version")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     )
     node = F.struct("one", "two")
     keys = checkpointed(classes.select(node.alias("node"), "size", F.posexplode("bands").alias("band", "bucket")))
@@ -313,7 +298,7 @@ def jaccard_join(
     sized = members.select("one", "two", "cluster", "rep", "copies").join(one.unionByName(many.select("node.*", "units")), ["one", "two"])
     counted = ways.agg(F.sum("n").alias("members"), F.sum(F.least("apart", "whole")).alias("rows")).first()
     n_rows = counted["rows"] or 0
-    read = known.join(with_size_check(sized, 1, 96 * (counted["members"] or 0) + 24 * n_rows), known["doc"] == sized["rep"])
+    read = known.join(with_size_check(sized, 1, 96 * (counted["members"] or 0) + 24 * n_rows), (known["doc"] == sized["rep.doc"]) & (known["version"] == sized["rep.version"]))
     units = "array<struct<band: int, bucket: long, blocks: int>>"
     filled = read.select("text", "one", "two", "cluster", "copies", "units").mapInArrow(
         partial(_member_batches, k=words), f"one long, two long, cluster struct<one: long, two: long>, copies long, units {units}, signature binary, shingles binary"
@@ -331,11 +316,61 @@ def jaccard_join(
     roots = F.struct(F.col("root_one").alias("one"), F.col("root_two").alias("two"))
     joined = connected_components(found.select(node.alias("a"), roots.alias("b")).filter("a <> b"))
     joined = joined.select("node.*", "component").join(classes.select("one", "two", "rep"), ["one", "two"])
-    least = joined.groupBy("component").agg(F.min("rep").alias("class_id"))
-    joined = joined.join(least, "component").select("one", "two", "class_id")
+    least = joined.groupBy("component").agg(F.min("rep").alias("stays"))
+    joined = joined.join(least, "component").select("one", "two", "stays")
     named = classes.select("one", "two", "rep", "copies").join(links, ["one", "two"], "left").join(joined, ["one", "two"], "left")
-    named = named.select("one", "two", F.col("rep").alias("copy_id"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    ids = profile.join(named, ["one", "two"]).select(F.col("doc").alias("known"), "class_id", "copy_id", "n_links")
-    bare = docs.select(F.col(key).cast("long").alias("known"), F.col(text).alias("bare")).filter(F.col("known").isNull() | ~F.coalesce(F.col("bare"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
-    bare = bare.select("known", F.col("known").alias("class_id"), F.col("known").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
-    return ids.unionByName(bare).withColumnRenamed("known", key)
+    named = named.select("one", "two", F.col("rep.doc").alias("copy_id"), F.coalesce("stays", "rep").alias("stays"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    ids = profile.join(named, ["one", "two"]).select("doc", "version", F.col("stays.doc").alias("class_id"), "copy_id", "n_links", "stays")
+    bare = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("bare")).filter(F.col("doc").isNull() | ~F.coalesce(F.col("bare"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
+    bare = bare.select("doc", "version", F.col("doc").alias("class_id"), F.col("doc").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.struct("doc", "version").alias("stays"))
+    return ids.unionByName(bare)
+
+
+def jaccard_join(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
+) -> DataFrame:
+    """One row for each document: key, `class_id`, `copy_id`, `n_links`.
+
+    Two documents are linked if the Jaccard similarity of their sets of `words`-word shingles is at
+    least `threshold` (copies are linked). `n_links` counts a document's links, `copy_id` is the
+    smallest key among documents with the same set, `class_id` the smallest among all that links
+    connect. A pair at the threshold is missed with a probability of about 5e-5 (bands) plus the
+    tolerance; no pair below the threshold is ever linked.
+
+    Words are runs without bytes 9-13 and 32, unchanged. A text of fewer words is one shingle; a null
+    or empty text has none and no links. Every row is a document: repeated rows count as copies, and
+    rows with one key and different texts are joined each by its own text. Rows with a null key have
+    null ids and no links. Keys are integers; columns other than key and text are left out, whatever
+    their names. An empty table gives an empty table.
+    """
+    with spent_tables() as made:
+        found = _joined(docs, key, text, words, threshold, tolerance)
+        return kept_only(made, found.select(F.col("doc").alias(key), "class_id", "copy_id", "n_links"))
+
+
+def one_of_each(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
+) -> DataFrame:
+    """The rows of `docs`, all columns, with one document left of each class of `jaccard_join`: the one of the smallest key.
+
+    Of rows with one key that links connect, the text with the smallest hash stays; of equal rows, one
+    (whichever, if they differ in further columns). Documents without a word are no copies of others;
+    rows with a null key all stay. An empty table gives an empty table.
+    """
+    with spent_tables() as made:
+        found = _joined(docs, key, text, words, threshold, tolerance).filter("doc is not null")
+        rows = checkpointed(found.select("doc", "version", (F.struct("doc", "version") == F.col("stays")).alias("first")))
+        counted = rows.groupBy("doc", "version", "first").agg(F.count(F.lit(1)).alias("n"))
+        marked = kept_only(made, counted.filter("n > 1 or not first"))
+    name = {c: unused(c, docs.columns) for c in ("doc", "version", "first", "n")}
+    marked = marked.select(*(F.col(c).alias(x) for c, x in name.items()))
+    n = marked.count()
+    if not n:
+        return docs
+    same = (F.col(key).cast("long") == F.col(name["doc"])) & (F.xxhash64(text) == F.col(name["version"]))
+    kept = docs.join(with_size_check(marked, n, 32), same, "left_anti")
+    often = marked.filter(F.col(name["first"]))
+    if often.isEmpty():
+        return kept
+    once = docs.join(often, same, "left_semi").dropDuplicates([key, text])
+    return kept.unionByName(once)

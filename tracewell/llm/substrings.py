@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, mix, release, slices, span_hashes, tidy, unused, view, word_spans
+from tracewell.llm._text import bounded_batches, checkpointed, gram_hashes, kept_only, mix, release, slices, span_hashes, spent_tables, tidy, unused, view, word_spans
 
 SIZE = 20
 GRAM = 5
@@ -364,10 +364,16 @@ def _cut_batches(batches, text: str, size: int, count: str | None, mark: str):
 def _with_spans(docs: DataFrame, spans: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """The documents with their array of spans as column `name`; both sides are shuffled by key and text's hash, however small one is."""
     doc, version = unused("doc", docs.columns), unused("version", docs.columns)
-    grouped = spans.groupBy(F.col("doc").alias(doc), F.col("version").alias(version)).agg(F.collect_list(F.struct("start", "removed")).alias(name))
-    grouped = checkpointed(grouped)
+    renamed = spans.select(F.col("doc").alias(doc), F.col("version").alias(version), F.col("spans").alias(name))
     same = (F.col(key).cast("long") == F.col(doc)) & (F.xxhash64(F.col(text)) == F.col(version))
-    return docs.join(grouped.hint("merge"), same, "left").drop(doc, version)
+    return docs.join(renamed.hint("merge"), same, "left").drop(doc, version)
+
+
+def _spans_of_texts(docs: DataFrame, key: str, text: str, size: int, hot: int) -> DataFrame:
+    """(doc, version, spans) of the texts that lose something, written."""
+    with spent_tables() as made:
+        spans = removal_spans(docs, key, text, size, hot)
+        return kept_only(made, spans.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "removed")).alias("spans")))
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str | None = None, size: int = SIZE, hot: int = HOT) -> DataFrame:
@@ -379,7 +385,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", count:
     """
     bounded_batches(docs.sparkSession)
     mark = unused("spans", docs.columns)
-    joined = _with_spans(docs, removal_spans(docs, key, text, size, hot), key, text, mark)
+    joined = _with_spans(docs, _spans_of_texts(docs, key, text, size, hot), key, text, mark)
     typed = [F.col(f"`{c}`").cast("long").alias(c) if c == count else F.col(f"`{c}`") for c in joined.columns]
     schema = ", ".join(f"`{f.name}` {'bigint' if f.name == count else f.dataType.simpleString()}" for f in docs.schema)
     return joined.select(*typed).mapInArrow(partial(_cut_batches, text=text, size=size, count=count, mark=mark), schema)
@@ -396,7 +402,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     their names.
     """
     kept = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text"))
-    joined = _with_spans(kept, removal_spans(docs, key, text, size, hot), "doc_key", "text", "spans").select("doc_key", "text", "spans")
+    joined = _with_spans(kept, _spans_of_texts(docs, key, text, size, hot), "doc_key", "text", "spans").select("doc_key", "text", "spans")
     kind = docs.schema[key].dataType.simpleString()
     out = joined.mapInArrow(partial(_keep_batches, text="text", size=size), f"doc_key {kind}, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("doc_key", key)
