@@ -1,7 +1,9 @@
 """A corpus from raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again
-before the next. All but the last return the columns of `documents`.
+before the next. All but the last return the columns of `documents`, whatever columns those are
+beside `doc_id` (an integer) and `text`; `n_chars`, where there is one, is kept true. An empty table
+gives an empty one in every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import jaccard, language, packing, quality, substrings
-from tracewell.llm._text import checkpointed, with_size_check
+from tracewell.llm._text import checkpointed, release
 from tracewell.llm.queries_tokens import tokenizer_path
 
 #: Some stages hold texts whose language or quality can't be told by SQL.
@@ -18,38 +20,52 @@ ORACLE_SQL = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier, learned from the labels, scores below 0.5."""
-    measured = checkpointed(quality.text_statistics(docs))
-    model = quality.learn_quality(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Drops documents that the quality classifier scores below 0.5.
+
+    Learns from `labels` and the texts of the documents they name; only those are measured before
+    the one pass that scores all. Null and empty texts are scored like others, null ids too; equal
+    texts stay or go together. Without a label that teaches, all rows stay.
+    """
+    model = quality.learn_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without a likely language; learned from the documents that state one."""
-    model = language.fit(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    """Drops documents without a letter or without a likely language (a score below 0.5).
+
+    Learns from the documents that state a language and aren't held out. Null and empty texts go.
+    A column `lang` that is null or missing teaches nothing; without any, no language is known and
+    all rows go, as it is with an empty table.
+    """
+    stated = docs.withColumn("lang", F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string"))
+    model = language.fit(stated.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     return language.keep_identified(docs, model)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of copies and near copies, in one row."""
-    found = checkpointed(jaccard.jaccard_join(docs).select("doc_id", "class_id"))
-    dropped = found.filter("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(with_size_check(dropped, found.filter("doc_id <> class_id").count(), 16), "doc_id", "left_anti")
-    repeated = checkpointed(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"))
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """Keeps one document of each group of copies and near copies, the one with the smallest id, in one row.
+
+    Documents without a word are no copies of others; rows with a null id all stay. Of rows with one
+    id, those with different texts are documents of their own, of equal ones one stays.
+    """
+    return jaccard.one_of_each(docs)
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of twenty words or more that an earlier document or place has."""
-    count = "n_chars" if "n_chars" in docs.columns else None
+    """Cuts passages of twenty words or more that an earlier document or place has.
+
+    Documents that lose all their words go; those that never had one stay, null texts as null. Rows
+    with a null id are kept whole; repeated rows keep and lose the same.
+    """
+    count = next((c for c in docs.columns if c == "n_chars"), None)
     return substrings.cut_repeats(docs, count=count).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 1024 tokens."""
+    """Pieces of all documents with their places in sequences of 1024 tokens.
+
+    Every row is packed, as often as it appears; a null or empty text is its end token alone.
+    """
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
@@ -63,8 +79,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole table of documents; what a stage has read is deleted once the next one's result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
         docs = checkpointed(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        release(*before)
+        before = [docs]
+    out = STAGES[-1][1](spark, docs, sf_dir)  # stands on the pieces it has written
+    release(*before)
+    return out
