@@ -280,10 +280,12 @@ def _joined(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     )
     node = F.struct("one", "two")
     keys = checkpointed(classes.select(node.alias("node"), "size", F.posexplode("bands").alias("band", "bucket")))
-    buckets = keys.groupBy("band", "bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).filter("n > 1")
-    met = checkpointed(keys.join(buckets.select("band", "bucket", "least", _blocks("n", "total").alias("blocks")), ["band", "bucket"]).drop("size"))
+    buckets = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).filter("n > 1")
+    met = checkpointed(keys.join(buckets.select("bucket", _blocks("n", "total").alias("blocks")).hint("merge"), "bucket").drop("size"))
     release(keys)
-    clusters = connected_components(met.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    least = met.groupBy("bucket").agg(F.min("node").alias("least"))
+    ties = met.select("bucket", "node").join(least.hint("merge"), "bucket").filter("node <> least")
+    clusters = connected_components(ties.select(F.col("node").alias("a"), F.col("least").alias("b")))
     members = clusters.select("node.*", F.col("component").alias("cluster")).join(classes.drop("bands"), ["one", "two"])
     members = checkpointed(members)
     placed = met.join(clusters.select("node", F.col("component").alias("cluster")), "node")
@@ -320,7 +322,8 @@ def _joined(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     joined = joined.join(least, "component").select("one", "two", "stays")
     named = classes.select("one", "two", "rep", "copies").join(links, ["one", "two"], "left").join(joined, ["one", "two"], "left")
     named = named.select("one", "two", F.col("rep.doc").alias("copy_id"), F.coalesce("stays", "rep").alias("stays"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    ids = profile.join(named, ["one", "two"]).select("doc", "version", F.col("stays.doc").alias("class_id"), "copy_id", "n_links", "stays")
+    named = checkpointed(named)  # so that the join below meets two exchanges, which Spark splits where one text is hot
+    ids = profile.join(named.hint("merge"), ["one", "two"]).select("doc", "version", F.col("stays.doc").alias("class_id"), "copy_id", "n_links", "stays")
     bare = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("bare")).filter(F.col("doc").isNull() | ~F.coalesce(F.col("bare"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
     bare = bare.select("doc", "version", F.col("doc").alias("class_id"), F.col("doc").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.struct("doc", "version").alias("stays"))
     return ids.unionByName(bare)
