@@ -294,10 +294,12 @@ def _joined(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     whole = whole.select("cluster", _blocks("n", "total").alias("blocks"), "n", (F.col("n") * _blocks("n", "total")).alias("whole"))
     ways = checkpointed(whole.join(apart, "cluster").withColumn("by_bucket", F.col("apart") < F.col("whole")))
     unit = lambda band, bucket, blocks: F.struct(band.cast("int").alias("band"), bucket.cast("long").alias("bucket"), blocks.alias("blocks"))
-    one = members.join(ways.filter("not by_bucket"), "cluster").select("one", "two", F.array(unit(F.lit(-1), F.lit(0), F.col("blocks"))).alias("units"))
+    columns = ("one", "two", "cluster", "rep", "copies")
+    one = members.join(ways.filter("not by_bucket").select("cluster", "blocks"), "cluster")
+    one = one.select(*columns, F.array(unit(F.lit(-1), F.lit(0), F.col("blocks"))).alias("units"))
     many = placed.join(ways.filter("by_bucket").select("cluster"), "cluster", "left_semi")
     many = many.groupBy("node").agg(F.collect_list(unit(F.col("band"), F.col("bucket"), F.col("blocks"))).alias("units"))  # at most BANDS
-    sized = members.select("one", "two", "cluster", "rep", "copies").join(one.unionByName(many.select("node.*", "units")), ["one", "two"])
+    sized = one.unionByName(members.join(many.select("node.*", "units"), ["one", "two"]).select(*columns, "units"))
     counted = ways.agg(F.sum("n").alias("members"), F.sum(F.least("apart", "whole")).alias("rows")).first()
     n_rows = counted["rows"] or 0
     read = known.join(with_size_check(sized, 1, 96 * (counted["members"] or 0) + 24 * n_rows), (known["doc"] == sized["rep.doc"]) & (known["version"] == sized["rep.version"]))
