@@ -5,34 +5,34 @@ import pytest
 
 from tracewell.operators import report
 from tracewell.plans.lineage import Options, run_project
-from tracewell.sources.demo import shop
+from tracewell.sources.demo import harbour
 from tracewell.sources.project import Node, Project
 from tracewell.sources.sinks import cache_document, write_cache, write_report
 
 
 @pytest.fixture(scope="module")
 def found(spark):
-    return run_project(spark, shop(), Options(indirect=True))
+    return run_project(spark, harbour(), Options(indirect=True))
 
 
-def test_shop_edges(found):
+def test_harbour_edges(found):
     kinds = Counter(r["kind"] for r in found.edges.select("kind").collect())
-    assert kinds == {"join_key": 43, "passthrough": 13, "aggregate": 13, "rename": 4, "transform": 1}
+    assert kinds == {"join_key": 25, "filter": 8, "passthrough": 10, "aggregate": 4, "transform": 5, "rename": 2, "window": 2, "hash": 1, "cast": 1}
 
 
 def test_file_is_the_same_twice(spark, found, tmp_path):
     one = cache_document(found, now="t")
-    assert one == cache_document(run_project(spark, shop(), Options(indirect=True)), now="t")
-    assert len(one["edges"]) == 74 and len(one["rules"]) == 4 and len(one["expressions"]) == 10 and "roots" not in one
+    assert one == cache_document(run_project(spark, harbour(), Options(indirect=True)), now="t")
+    assert len(one["edges"]) == 58 and len(one["rules"]) == 4 and len(one["expressions"]) == 10 and len(one["roots"]) == 2
     written = write_cache(found, str(tmp_path / "c.json"))
     assert json.loads((tmp_path / "c.json").read_text()) == written
 
 
 def test_report(found, tmp_path):
-    totals = write_report(found, str(tmp_path / "r.json"), shop())["totals"]
+    totals = write_report(found, str(tmp_path / "r.json"), harbour())["totals"]
     assert totals["models"] == totals["parsed"] == totals["confirmed"] == 5
-    assert totals["columns_covered"] == totals["columns_total"] == 27
-    assert totals["edges_indirect"] == 43 and totals["columns_lost"] == 0
+    assert (totals["columns_covered"], totals["columns_total"], totals["columns_root"]) == (25, 25, 2)
+    assert totals["edges_indirect"] == 33 and totals["columns_lost"] == 0
     assert json.loads((tmp_path / "r.json").read_text())["models"] == []
 
 

@@ -4,7 +4,7 @@ import os
 import pytest
 
 from tracewell import cli
-from tracewell.sources.demo import shop
+from tracewell.sources.demo import harbour
 from tracewell.sources.project import ProjectError, add_catalog, from_manifest, levels, load, model_order, read_nodes, seed_header
 from tracewell.sources.sinks import replace
 
@@ -35,7 +35,7 @@ def test_circles_end():
 
 
 def test_last_parent_is_walked_first():
-    assert [u.split(".")[-1] for u in model_order(shop())] == ["stg_payments", "stg_orders", "stg_customers", "customers", "orders"]
+    assert [u.split(".")[-1] for u in model_order(harbour())] == ["moorings", "berth_days", "fleet", "tide_at_arrival", "vessel_summary"]
 
 
 def test_catalog_counts_only_for_the_same_relation():

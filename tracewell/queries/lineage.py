@@ -31,57 +31,62 @@ def values(columns: str, text: str) -> str:
     return f"SELECT * FROM (VALUES {shown}) AS t({columns})"
 
 
-# What feeds what in the bundled shop, written by hand from its SQL.
+# What feeds what in the bundled harbour, written by hand from its SQL.
 EDGES = """
-raw_customers | id | stg_customers | customer_id | rename
-raw_customers | first_name | stg_customers | first_name | passthrough
-raw_customers | last_name | stg_customers | last_name | passthrough
-raw_orders | id | stg_orders | order_id | rename
-raw_orders | user_id | stg_orders | customer_id | rename
-raw_orders | order_date | stg_orders | order_date | passthrough
-raw_orders | status | stg_orders | status | passthrough
-raw_payments | id | stg_payments | payment_id | rename
-raw_payments | order_id | stg_payments | order_id | passthrough
-raw_payments | payment_method | stg_payments | payment_method | passthrough
-raw_payments | amount | stg_payments | amount | transform
-stg_customers | customer_id | customers | customer_id | passthrough
-stg_customers | first_name | customers | first_name | passthrough
-stg_customers | last_name | customers | last_name | passthrough
-stg_orders | order_date | customers | first_order | aggregate
-stg_orders | order_date | customers | most_recent_order | aggregate
-stg_orders | order_id | customers | number_of_orders | aggregate
-stg_payments | amount | customers | lifetime_value | aggregate
-stg_orders | order_id | orders | order_id | passthrough
-stg_orders | customer_id | orders | customer_id | passthrough
-stg_orders | order_date | orders | order_date | passthrough
-stg_orders | status | orders | status | passthrough
-stg_payments | amount | orders | card_amount | aggregate
-stg_payments | payment_method | orders | card_amount | aggregate
-stg_payments | amount | orders | coupon_amount | aggregate
-stg_payments | payment_method | orders | coupon_amount | aggregate
-stg_payments | amount | orders | transfer_amount | aggregate
-stg_payments | payment_method | orders | transfer_amount | aggregate
-stg_payments | amount | orders | gift_amount | aggregate
-stg_payments | payment_method | orders | gift_amount | aggregate
-stg_payments | amount | orders | amount | aggregate
+berth_log | vessel_code | moorings | vessel_code | passthrough
+berth_log | berth | moorings | berth | passthrough
+berth_log | arrived_at | moorings | arrived_at | passthrough
+berth_log | departed_at | moorings | departed_at | passthrough
+berth_log | arrived_at | moorings | stay_hours | transform
+berth_log | departed_at | moorings | stay_hours | transform
+berth_log | cargo_kg | moorings | cargo_t | transform
+vessels | code | fleet | vessel_code | rename
+vessels | flag | fleet | flag | transform
+vessels | built_year | fleet | age | transform
+vessels | owner_name | fleet | owner_key | hash
+moorings | berth | berth_days | berth | passthrough
+moorings | arrived_at | berth_days | day | cast
+moorings | cargo_t | berth_days | tonnes | aggregate
+moorings | stay_hours | berth_days | longest | aggregate
+moorings | vessel_code | tide_at_arrival | vessel_code | passthrough
+moorings | arrived_at | tide_at_arrival | arrived_at | passthrough
+tides | height_cm | tide_at_arrival | tide_cm | rename
+moorings | berth | tide_at_arrival | tide_rank | window
+tides | height_cm | tide_at_arrival | tide_rank | window
+fleet | vessel_code | vessel_summary | vessel_code | passthrough
+fleet | flag | vessel_summary | flag | passthrough
+fleet | age | vessel_summary | age | passthrough
+moorings | cargo_t | vessel_summary | total_t | aggregate
+moorings | berth | vessel_summary | berths | aggregate
 """
+# Each row-deciding column with the outputs that it doesn't feed.
+INDIRECT = {
+    "berth_log departed_at moorings filter": "vessel_code berth arrived_at cargo_t",
+    "moorings cargo_t berth_days filter": "berth day calls longest",
+    "tides measured_at tide_at_arrival join_key": "vessel_code arrived_at tide_cm tide_rank",
+    "tides station tide_at_arrival join_key": "vessel_code arrived_at tide_cm tide_rank",
+    "moorings arrived_at tide_at_arrival join_key": "vessel_code tide_cm tide_rank",
+    "moorings berth tide_at_arrival join_key": "vessel_code arrived_at tide_cm",
+    "fleet vessel_code vessel_summary join_key": "flag age total_t berths state",
+    "moorings vessel_code vessel_summary join_key": "vessel_code flag age total_t berths state",
+}
 RULES = """
-customers | JOIN | payments.order_id = orders.order_id | stg_payments.order_id,stg_orders.order_id
-customers | JOIN | customers.customer_id = customer_orders.customer_id | stg_customers.customer_id,stg_orders.customer_id
-customers | JOIN | customers.customer_id = customer_payments.customer_id | stg_customers.customer_id,stg_orders.customer_id
-orders | JOIN | orders.order_id = order_payments.order_id | stg_orders.order_id,stg_payments.order_id
+moorings | WHERE | l.departed_at IS NOT NULL | berth_log.departed_at
+berth_days | HAVING | sum(cargo_t) > 0 | moorings.cargo_t
+tide_at_arrival | JOIN | t.measured_at = m.arrived_at AND t.station = m.berth | tides.measured_at,moorings.arrived_at,tides.station,moorings.berth
+vessel_summary | JOIN | USING (vessel_code) | fleet.vessel_code,moorings.vessel_code
 """
 EXPRESSIONS = """
-stg_payments | amount | transform | amount / 100 | 1
-customers | first_order | aggregate | min(order_date) | 1
-customers | most_recent_order | aggregate | max(order_date) | 1
-customers | number_of_orders | aggregate | count(order_id) | 1
-customers | lifetime_value | aggregate | sum(amount) | 1
-orders | card_amount | aggregate | sum(CASE WHEN payment_method = 'card' THEN amount ELSE 0 END) | 1
-orders | coupon_amount | aggregate | sum(CASE WHEN payment_method = 'coupon' THEN amount ELSE 0 END) | 1
-orders | transfer_amount | aggregate | sum(CASE WHEN payment_method = 'transfer' THEN amount ELSE 0 END) | 1
-orders | gift_amount | aggregate | sum(CASE WHEN payment_method = 'gift' THEN amount ELSE 0 END) | 1
-orders | amount | aggregate | sum(amount) | 1
+moorings | stay_hours | transform | datediff('hour', l.arrived_at, l.departed_at) | 1
+moorings | cargo_t | transform | CAST(l.cargo_kg AS DOUBLE) / 1000.0 | 1
+fleet | flag | transform | upper(flag) | 1
+fleet | age | transform | 2026 - built_year | 1
+berth_days | day | cast | CAST(arrived_at AS DATE) | 1
+berth_days | tonnes | aggregate | sum(cargo_t) | 1
+berth_days | longest | aggregate | max(stay_hours) | 1
+tide_at_arrival | tide_rank | window | rank() OVER (PARTITION BY m.berth ORDER BY t.height_cm DESC) | 1
+vessel_summary | total_t | aggregate | sum(cargo_t) | 2
+vessel_summary | berths | aggregate | listagg(DISTINCT berth, '/') | 1
 """
 
 
@@ -89,42 +94,40 @@ def short(column: str):
     return F.element_at(F.split(column, r"\."), -1)
 
 
-def _shop(spark: SparkSession, indirect: bool = False):
-    from tracewell.sources.demo import shop
+def _harbour(spark: SparkSession, indirect: bool = False):
+    from tracewell.sources.demo import harbour
+
+    return run_project(spark, harbour(), Options(indirect=indirect))
 
-    return run_project(spark, shop(), Options(indirect=indirect))
+
+def _edge_rows(edges: DataFrame) -> DataFrame:
+    return edges.select(short("from").alias("source"), F.col("from_col").alias("source_column"), short("to").alias("target"), F.col("to_col").alias("target_column"), "kind")
 
 
 @query(values("source, source_column, target, target_column, kind", EDGES))
 def lineage_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return _shop(spark).edges.select(short("from").alias("source"), F.col("from_col").alias("source_column"), short("to").alias("target"), F.col("to_col").alias("target_column"), "kind")
+    return _edge_rows(_harbour(spark).edges)
 
 
-_DIRECT = values("source, source_column, target, target_column, kind", EDGES)
+@query(values("source, source_column, target, target_column, kind", "\n".join(" | ".join([*key.split()[:3], column, key.split()[3]]) for key, columns in INDIRECT.items() for column in columns.split())))
+def lineage_indirect_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _edge_rows(_harbour(spark, True).edges.filter("kind in ('join_key', 'filter', 'dedup_key')"))
 
 
-@query(
-    f"""WITH direct AS ({_DIRECT}), keys AS (
-      SELECT * FROM (VALUES ('stg_payments', 'order_id', 'customers'), ('stg_orders', 'order_id', 'customers'), ('stg_customers', 'customer_id', 'customers'),
-        ('stg_orders', 'customer_id', 'customers'), ('stg_orders', 'order_id', 'orders'), ('stg_payments', 'order_id', 'orders')) AS t(source, source_column, target)
-    ), outputs AS (SELECT DISTINCT target, target_column FROM direct)
-    SELECT k.source, k.source_column, k.target, o.target_column, 'join_key' AS kind FROM keys k JOIN outputs o ON k.target = o.target
-    WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.source = k.source AND d.source_column = k.source_column AND d.target = k.target AND d.target_column = o.target_column)"""
-)
-def lineage_indirect_edges(spark: SparkSession, sf: str) -> DataFrame:
-    edges = _shop(spark, True).edges.filter("kind = 'join_key'")
-    return edges.select(short("from").alias("source"), F.col("from_col").alias("source_column"), short("to").alias("target"), F.col("to_col").alias("target_column"), "kind")
+@query(values("model, column_name, expressions", "berth_days | calls | count(*)\nvessel_summary | state | 'active'"))
+def lineage_roots(spark: SparkSession, sf: str) -> DataFrame:
+    return _harbour(spark).roots.select(short("uid").alias("model"), F.col("column").alias("column_name"), F.array_join("expressions", ",").alias("expressions"))
 
 
 @query(values("model, clause, text, columns", RULES))
 def lineage_rules(spark: SparkSession, sf: str) -> DataFrame:
     shown = F.array_join(F.transform("columns", lambda c: F.concat(F.element_at(F.split(c["node"], r"\."), -1), F.lit("."), c["column"])), ",")
-    return _shop(spark).rules.select(short("uid").alias("model"), "clause", "text", shown.alias("columns"))
+    return _harbour(spark).rules.select(short("uid").alias("model"), "clause", "text", shown.alias("columns"))
 
 
 @query(values("model, column_name, kind, text, steps", EXPRESSIONS))
 def lineage_expressions(spark: SparkSession, sf: str) -> DataFrame:
-    return _shop(spark).expressions.select(short("uid").alias("model"), F.col("column").alias("column_name"), "kind", "text", F.col("steps").cast("string").alias("steps"))
+    return _harbour(spark).expressions.select(short("uid").alias("model"), F.col("column").alias("column_name"), "kind", "text", F.col("steps").cast("string").alias("steps"))
 
 
 @query("SELECT column_name AS name FROM (DESCRIBE orders)")
@@ -169,7 +172,7 @@ def read_through_ephemeral(spark: SparkSession, sf: str) -> DataFrame:
     return graph.read_through(edges, skipped).select("uid", "parent")
 
 
-_RELATIONS = """SELECT 'm' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS uid, 'DB.S.' || CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE '"' || lower(p_type) || '"' END AS relation FROM part WHERE p_partkey <= 2000"""
+_RELATIONS = """SELECT 'm' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS uid, 'DB.S.' || CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE '"' || lower(p_type) || '"' END AS relation FROM part"""
 
 
 @query(
@@ -234,9 +237,14 @@ def missing_unexpected(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("k", F.array_join("missing", ",").alias("missing"), F.array_join("unexpected", ",").alias("unexpected"))
 
 
-@query(f"{_LISTS} SELECT k, CAST(len(list_intersect(declared, computed)) AS INT) AS shared, len(warehouse) = 0 AND len(declared) >= 8 AND len(list_intersect(declared, computed)) * 2 < len(declared) AS is_thin FROM b")
+@query(
+    """WITH t AS (SELECT p_brand AS k, list_distinct(list(p_type)) AS declared, list_distinct(list(p_type) FILTER (WHERE p_size < 25 OR p_size % 2 = 0 AND p_brand < 'Brand#3')) AS computed FROM part GROUP BY 1)
+    SELECT k, CAST(len(list_intersect(declared, coalesce(computed, []))) AS INT) AS shared, len(declared) >= 8 AND len(list_intersect(declared, coalesce(computed, []))) * 2 < len(declared) AS is_thin FROM t"""
+)
 def thin_compile(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.thin(_lists(spark, sf)).select("k", "shared", "is_thin")
+    made = (F.col("p_size") < 25) | ((F.col("p_size") % 2 == 0) & (F.col("p_brand") < "Brand#3"))
+    lists = table(spark, sf, "part").groupBy(F.col("p_brand").alias("k")).agg(F.collect_set("p_type").alias("declared"), F.collect_set(F.when(made, F.col("p_type"))).alias("computed"))
+    return graph.thin(lists.withColumn("warehouse", F.expr("cast(array() as array<string>)"))).select("k", "shared", "is_thin")
 
 
 @query(
@@ -392,8 +400,7 @@ def _demo(spark: SparkSession, sf: str):
 
 @query(values("source, source_column, target, target_column, kind", DEMO_EDGES))
 def demo_edges(spark: SparkSession, sf: str) -> DataFrame:
-    edges = _demo(spark, sf).edges
-    return edges.select(short("from").alias("source"), F.col("from_col").alias("source_column"), short("to").alias("target"), F.col("to_col").alias("target_column"), "kind")
+    return _edge_rows(_demo(spark, sf).edges)
 
 
 @query(values("model, relation, column_name, role, projected", DEMO_READS))
@@ -443,3 +450,46 @@ def demo_totals(spark: SparkSession, sf: str) -> DataFrame:
 
     names = "models parsed parse_failed edges_parsed edges_inferred row_deciding_reads read_not_projected columns_root unbacked_reads undeclared".split()
     return totals(_demo(spark, sf)).select(*[F.col(n).cast("int").alias(n) for n in names])
+
+
+def _constructs(family: str):
+    from tracewell.queries import constructs
+
+    rows = [(construct, fact) for construct, _, facts in constructs.cases(family) for fact in facts]
+    shown = ",\n".join("(" + ", ".join("'" + c.replace("'", "''") + "'" for c in row) + ")" for row in rows)
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return construct_facts(spark, [(c, sql) for c, sql, _ in constructs.cases(family)])
+
+    run.__name__ = f"resolve_{family}"
+    query(f"SELECT * FROM (VALUES {shown}) AS t(construct, fact)")(run)
+
+
+def construct_facts(spark: SparkSession, statements: list[tuple[str, str]]) -> DataFrame:
+    """(construct, fact): all that the resolver finds in each statement, a line for each fact."""
+    from tracewell.plans.lineage import resolve_models
+    from tracewell.queries import constructs
+
+    lists = F.array(*[F.struct(F.lit(r).alias("relation"), F.lit(r.upper()).alias("key"), F.array(*map(F.lit, c)).alias("columns"), F.expr("cast(array() as array<struct<source:string,columns:array<string>>>)").alias("others")) for r, c in constructs.LISTS.items()])
+    models = spark.createDataFrame(statements, "uid string, sql string").select("uid", "sql", F.lit(None).cast("string").alias("problem"), lists.alias("visible"))
+    found = resolve_models(models)
+    tail = lambda c: F.lower(F.element_at(F.split(c, r"\."), -1))
+    joined = lambda c: F.array_join(c, ", ")
+    each = {
+        "edges": lambda x: F.concat(x["kind"], F.lit(" "), tail(x["from_relation"]), F.lit("."), x["from_column"], F.lit(" > "), x["to_column"]),
+        "indirect": lambda x: F.concat(x["role"], F.lit(" "), tail(x["relation"]), F.lit("."), x["column"]),
+        "roots": lambda x: F.concat(F.lit("root "), x["column"], F.lit(" ="), F.when(F.size(x["expressions"]) > 0, F.concat(F.lit(" "), joined(x["expressions"]))).otherwise(F.lit(""))),
+        "partial": lambda x: F.concat_ws(" ", F.lit("partial"), x["output"], x["reason"], x["name"]),
+        "lost": lambda x: F.concat(F.lit("lost "), x["column"]),
+        "unbacked": lambda x: F.rtrim(F.concat(F.lit("unbacked "), x["output"], F.lit(" "), x["cte"], F.lit("."), x["column"], F.lit(" of "), joined(F.transform(x["owners"], tail)))),
+        "unknown_columns": lambda x: F.concat(F.lit("unknown "), tail(x["relation"]), F.lit("."), x["column"]),
+        "merged_scopes": lambda x: F.concat_ws(" ", F.lit("merged"), x["kind"], x["name"], x["count"].cast("string")),
+        "rules": lambda x: F.concat_ws(" ", F.lit("rule"), x["clause"], x["text"]),
+    }
+    lines = F.concat(*[F.transform(name, f) for name, f in each.items()], F.when(F.size("projection") > 0, F.array(F.concat(F.lit("columns "), joined("projection")))).otherwise(F.array()))
+    error = F.when(F.col("parse_error").isNotNull(), F.array(F.concat(F.lit("parse error at "), F.element_at("issues", 1)["span"][0].cast("string")))).otherwise(F.array())
+    return found.select(F.col("uid").alias("construct"), F.explode(F.concat(lines, error)).alias("fact"))
+
+
+for _family in ("projection", "subqueries", "joins", "aggregates", "windows", "sets", "generators", "gaps"):
+    _constructs(_family)

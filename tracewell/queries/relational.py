@@ -73,7 +73,7 @@ sql_query("having", "orders", "SELECT o_custkey, count(*) AS n FROM {orders} GRO
 sql_query("in_subquery", "customer orders", "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 400000)")
 sql_query("not_in_values", "customer", "SELECT c_custkey FROM {customer} WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
 sql_query("exists_correlated", "customer orders", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
-sql_query("not_exists", "customer orders", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
+sql_query("not_exists", "customer orders", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 sql_query(
     "scalar_correlated",
     "nation customer",
@@ -99,15 +99,11 @@ sql_query(
 sql_query("join_inner", "nation region", "SELECT n_name, r_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey")
 sql_query("join_left", "customer orders", "SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_totalprice > 300000")
 sql_query("join_right", "customer orders", "SELECT c_custkey, o_orderkey FROM {orders} RIGHT JOIN {customer} ON c_custkey = o_custkey AND o_totalprice > 300000")
-sql_query(
-    "join_full",
-    "customer supplier",
-    "SELECT c_custkey, s_suppkey FROM (SELECT * FROM {customer} WHERE c_custkey % 7 = 0) c FULL OUTER JOIN (SELECT * FROM {supplier} WHERE s_suppkey % 3 = 0) s ON c_custkey = s_suppkey",
-)
+sql_query("join_full", "customer supplier", "SELECT c_custkey, s_suppkey FROM {customer} FULL OUTER JOIN {supplier} ON c_custkey = s_suppkey AND c_acctbal > s_acctbal")
 sql_query("join_cross", "region", "SELECT a.r_regionkey AS a, b.r_regionkey AS b FROM {region} a CROSS JOIN {region} b")
 sql_query("join_comma", "nation region", "SELECT n_nationkey, r_name FROM {nation}, {region} WHERE n_regionkey = r_regionkey AND r_name LIKE 'A%'")
 sql_query("join_semi", "customer orders", "SELECT c_custkey FROM {customer} LEFT SEMI JOIN {orders} ON c_custkey = o_custkey", "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey")
-sql_query("join_anti", "customer orders", "SELECT c_custkey FROM {customer} LEFT ANTI JOIN {orders} ON c_custkey = o_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+sql_query("join_anti", "customer orders", "SELECT c_custkey FROM {customer} LEFT ANTI JOIN {orders} ON c_custkey = o_custkey AND o_totalprice > 250000", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000")
 sql_query("join_using", "documents labels", "SELECT doc_id, lang, quality FROM {documents} JOIN {labels} USING (doc_id)")
 sql_query("join_natural", "documents labels", "SELECT doc_id, source, toxic FROM {documents} NATURAL JOIN {labels}")
 sql_query("join_nested", "customer nation region", "SELECT c_custkey, r_name FROM {customer} JOIN ({nation} JOIN {region} ON n_regionkey = r_regionkey) ON c_nationkey = n_nationkey")
@@ -237,7 +233,7 @@ def union_by_name(spark, sf):
 
 
 sql_query("intersect", "customer supplier", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}")
-sql_query("except_distinct", "nation supplier", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT s_nationkey FROM {supplier}")
+sql_query("except_distinct", "customer orders", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_totalprice > 250000")
 sql_query("except_all", "customer supplier", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}")
 sql_query("parenthesised_set", "region", "(SELECT r_regionkey AS k FROM {region} WHERE r_regionkey < 3) UNION ALL (SELECT r_regionkey FROM {region} EXCEPT SELECT 4)")
 
