@@ -43,7 +43,7 @@ def test_catalog_counts_only_for_the_same_relation():
     entry = lambda db, name: {"metadata": {"database": db, "schema": "s", "name": name}, "columns": {"B": {"name": "B", "index": 2}, "a": {"name": "A", "index": 1}, "a.x": {"name": "a.x", "index": 3}}}
     add_catalog(project, {"nodes": {"model.p.b": entry("db", "b")}, "sources": {"source.p.raw": entry("other", "raw")}})
     assert project.warehouse == {"model.p.b": ["a", "b"]}
-    assert project.elsewhere == ["source.p.raw"]
+    assert project.elsewhere == [("source.p.raw", "DB.S.RAW", "OTHER.S.RAW")]
 
 
 @pytest.mark.parametrize(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.plans.stored import stored
+from tracewell.plans.stored import discard, stored
 
 SOURCES = ("warehouse", "seed_file", "computed", "declared")  # from the most trusted list to the least
 THIN_FLOOR = 8
@@ -35,31 +35,31 @@ def parent_edges(nodes: DataFrame) -> DataFrame:
 
 
 def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(uid, level): the longest way to a node from one without parents, by relaxation; `edges` is (uid, parent).
+    """(uid, level): the longest way to a node from one without parents; `edges` is (uid, parent).
 
-    One round for each level, until none is left: the nodes that the last round raised raise their
-    children. A round raises none that the round before didn't, so once two raise equally many, only
-    nodes in circles or behind them are left, and these keep the level of that round.
+    Nodes leave in rounds, each once, when the last of their parents has left: a round joins the edges
+    of those that left last, and takes what it met off the counts of open parents, so all rounds
+    together touch each edge once. Nodes in circles or behind them never leave; they come out with the
+    level of the round after the last.
     """
-    level = nodes.select("uid", F.lit(0).alias("level")).distinct()
-    known = nodes.select(F.col("uid").alias("parent")).distinct()
-    edges = edges.join(known, "parent", "left_semi").select("uid", "parent").distinct().persist()
-    raised, out, step, before = level, level, 0, None
-    held: list[DataFrame] = []
+    known = nodes.select("uid").distinct()
+    inner = edges.select("uid", "parent").distinct().join(known.select(F.col("uid").alias("parent")), "parent", "left_semi").join(known, "uid", "left_semi")
+    inner = stored(inner)
+    waits = inner.groupBy("uid").agg(F.count(F.lit(1)).alias("waits"))
+    open_ = stored(known.join(waits, "uid", "left").select("uid", F.coalesce("waits", F.lit(0)).alias("waits")))
+    out, level = None, 0
     while True:
-        step += 1
-        raised = raised.select(F.col("uid").alias("parent")).join(edges, "parent").select("uid", F.lit(step).alias("level")).distinct().persist()
-        held.append(raised)
-        count = raised.count()
-        if count:
-            out = out.unionByName(raised)
-        if count in (0, before):
-            return out.groupBy("uid").agg(F.max("level").alias("level"))
-        before = count
-        if step % CUT == 0:
-            raised, out = stored(raised), stored(out.groupBy("uid").agg(F.max("level").alias("level")))
-            while held:
-                held.pop().unpersist()
+        left = stored(open_.filter("waits = 0").select("uid", F.lit(level).alias("level")))
+        if left.isEmpty():
+            rest = open_.select("uid", F.lit(level).alias("level"))
+            return rest if out is None else out.unionByName(rest)
+        out = left if out is None else out.unionByName(left)
+        met = inner.join(left.select(F.col("uid").alias("parent")), "parent").groupBy("uid").agg(F.count(F.lit(1)).alias("met"))
+        before, open_ = open_, stored(open_.filter("waits > 0").join(met, "uid", "left").select("uid", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")))
+        discard(before)
+        level += 1
+        if level % CUT == 0:
+            out = stored(out)
 
 
 def read_through(edges: DataFrame, through: DataFrame) -> DataFrame:
@@ -71,11 +71,9 @@ def read_through(edges: DataFrame, through: DataFrame) -> DataFrame:
     marked = through.select(F.col("uid").alias("parent"), F.lit(True).alias("skipped")).distinct()
     inner = edges.select(F.col("uid").alias("parent"), F.col("parent").alias("then"), F.col("ord").alias("then_ord"))
     open_, done, step = edges.select("uid", "parent", F.array("ord").alias("path"), F.array("uid").alias("passed")), None, 0
-    held: list[DataFrame] = []
     while True:
         step += 1
-        split = open_.join(marked, "parent", "left").persist()
-        held.append(split)
+        split = stored(open_.join(marked, "parent", "left"))
         direct = split.filter("skipped is null").select("uid", "parent", "path")
         done = direct if done is None else done.unionByName(direct)
         rest = split.filter("skipped").filter(~F.array_contains("passed", F.col("parent")))
@@ -83,9 +81,7 @@ def read_through(edges: DataFrame, through: DataFrame) -> DataFrame:
             return done.groupBy("uid", "parent").agg(F.min("path").alias("path"))
         open_ = rest.join(inner, "parent").select("uid", F.col("then").alias("parent"), F.concat("path", F.array("then_ord")).alias("path"), F.concat("passed", F.array("parent")).alias("passed"))
         if step % CUT == 0:
-            open_, done = stored(open_), stored(done.groupBy("uid", "parent").agg(F.min("path").alias("path")))
-            while held:
-                held.pop().unpersist()
+            done = stored(done.groupBy("uid", "parent").agg(F.min("path").alias("path")))
 
 
 def best_lists(lists: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.graph import best_lists, collisions, relation_key
 from tracewell.plans.lineage import Lineage
 
 LOSSES = ("name_unresolved", "relation_unknown", "window_key_unbound")
@@ -12,6 +13,7 @@ SHOWN = 10
 
 #: (category, owner, severity, title, why, action): who can act and what it means, in our own words.
 CATEGORIES = (
+    ("catalog_of_another_target", "inputs", "error", "catalog entries of another target", "The catalog lists columns of another relation than the manifest names, so the entry says nothing of this node.", "Make the catalog and the manifest in one run, with one target."),
     ("compiled_file_from_another_graph", "inputs", "warning", "compiled files of another graph", "A compiled file reads relations that its model doesn't depend on.", "Compile the project again with the manifest's target."),
     ("source_without_columns", "inputs", "warning", "sources without columns", "No catalog and no documentation lists the columns of a source that is read.", "Document the source or hand in a catalog."),
     ("compile_does_not_parse", "project", "error", "statements that don't parse", "The compiled text is no statement this reader knows.", "Look at the position told with the model."),
@@ -29,18 +31,20 @@ CATEGORIES = (
 
 
 def coverage(pass_: Lineage) -> DataFrame:
-    """(uid, listed, covered, independent_listed, independent_covered, roots) of each model.
+    """(uid, listed, covered, independent_listed, independent_covered, roots, self_only) of each model.
 
     Once against the list that stands for the model, once against lists that its own compile didn't make
-    (the warehouse, or documentation), leaving roots out.
+    (the warehouse, or documentation), leaving out roots and, of models that read only themselves, the
+    columns without an edge (`self_only`): these come from the model's own earlier rows.
     """
-    own = pass_.models.select("uid", "model_ord", F.when(F.size("warehouse") > 0, F.col("warehouse")).when(F.size("declared") > 0, F.col("declared")).otherwise(F.expr("cast(array() as array<string>)")).alias("independent"), "outputs")
+    own = pass_.models.select("uid", "model_ord", reads_only_itself().alias("only_itself"), F.when(F.size("warehouse") > 0, F.col("warehouse")).when(F.size("declared") > 0, F.col("declared")).otherwise(F.expr("cast(array() as array<string>)")).alias("independent"), "outputs")
     fed = pass_.edges.filter("kind not in ('join_key', 'dedup_key', 'filter')").groupBy(F.col("to").alias("uid")).agg(F.collect_set("to_col").alias("fed"))
     ends = pass_.roots.groupBy("uid").agg(F.collect_set("column").alias("root_columns"))
     none = F.expr("cast(array() as array<string>)")
     rows = own.join(fed, "uid", "left").join(ends, "uid", "left").withColumns({"fed": F.coalesce("fed", none), "root_columns": F.coalesce("root_columns", none)})
     listed = F.when(F.size("independent") > 0, F.col("independent")).otherwise(F.col("outputs"))
     rows = rows.withColumn("listed_columns", listed).withColumn("told", F.array_except("independent", "root_columns"))
+    rows = rows.withColumn("alone", F.when(F.col("only_itself"), F.array_except("told", "fed")).otherwise(none)).withColumn("told", F.array_except("told", "alone"))
     both = F.array_union("fed", "root_columns")
     return rows.select(
         "uid",
@@ -49,7 +53,8 @@ def coverage(pass_: Lineage) -> DataFrame:
         F.size(F.array_intersect("listed_columns", both)).alias("covered"),
         F.size("told").alias("independent_listed"),
         F.size(F.array_intersect("told", "fed")).alias("independent_covered"),
-        F.size("root_columns").alias("roots"),
+        F.size(F.when(F.size("independent") > 0, F.array_intersect("independent", "root_columns")).otherwise(F.col("root_columns"))).alias("roots"),
+        F.size("alone").alias("self_only"),
     )
 
 
@@ -62,11 +67,19 @@ def row_deciding_reads(pass_: Lineage) -> DataFrame:
 
 
 def lost_columns(pass_: Lineage) -> DataFrame:
-    """(uid, column, ends) of columns without an edge that are no roots, in compiles that count."""
-    rows = pass_.models.filter("plan <> 'inferred'").select("uid", "model_ord", "plan", "shared_columns", F.explode("lost").alias("l")).select("uid", "model_ord", "plan", "shared_columns", "l.*")
+    """(uid, column, ends, lists) of columns without an edge that are no roots, in compiles that count and read more than themselves.
+
+    `lists` says for each relation that an end reads where the list came from that lacks the column.
+    """
+    rows = pass_.models.filter("plan <> 'inferred'").filter(~reads_only_itself()).select("uid", "model_ord", "plan", "shared_columns", F.explode("lost").alias("l")).select("uid", "model_ord", "plan", "shared_columns", "l.*")
     rows = rows.filter((F.col("plan") == "parsed") | F.array_contains("shared_columns", F.col("column")))
     bridged = pass_.edges.select(F.col("to").alias("uid"), F.col("to_col").alias("column")).distinct()
-    return rows.join(bridged, ["uid", "column"], "left_anti").select("uid", "model_ord", "column", "ends")
+    rows = rows.join(bridged, ["uid", "column"], "left_anti").select("uid", "model_ord", "column", "ends")
+    read = rows.select("uid", "column", F.explode(F.array_distinct(F.flatten(F.transform("ends", lambda e: e["reads"])))).alias("key"))
+    named = pass_.nodes.filter("relation is not null").select(F.col("uid").alias("node"), relation_key("relation").alias("key"))
+    said = read.join(named, "key").join(best_lists(pass_.lists.filter("kept")).select(F.col("uid").alias("node"), "source"), "node", "left")
+    said = said.groupBy("uid", "column").agg(F.sort_array(F.collect_set(F.struct(F.col("key").alias("relation"), F.coalesce("source", F.lit("none")).alias("list")))).alias("lists"))
+    return rows.join(said, ["uid", "column"], "left")
 
 
 def partial_columns(pass_: Lineage) -> DataFrame:
@@ -120,18 +133,21 @@ def totals(pass_: Lineage) -> DataFrame:
     indirect = F.col("kind").isin("join_key", "dedup_key", "filter")
     edges = pass_.edges.agg(n(~indirect & (F.col("kind") != "inferred")).alias("edges_parsed"), n(F.col("kind") == "inferred").alias("edges_inferred"), n(indirect).alias("edges_indirect"))
     covered = coverage(pass_).agg(
-        *[F.coalesce(F.sum(a).cast("long"), F.lit(0)).alias(b) for a, b in (("covered", "columns_covered"), ("listed", "columns_total"), ("independent_covered", "columns_covered_independent"), ("independent_listed", "columns_total_independent"), ("roots", "columns_root"))]
+        *[F.coalesce(F.sum(a).cast("long"), F.lit(0)).alias(b) for a, b in (("covered", "columns_covered"), ("listed", "columns_total"), ("independent_covered", "columns_covered_independent"), ("independent_listed", "columns_total_independent"), ("roots", "columns_root"), ("self_only", "columns_self"))]
     )
+    ways = pass_.guesses.filter("candidates > 1").agg(*[n(F.col("settled") == way).alias(f"ambiguous_by_{way}") for way in ("compile", "every", "order")])
+    blind = pass_.models.select("uid", F.explode("lost").alias("l")).select("uid", F.explode("l.ends").alias("e")).filter("e.reason = 'phantom' and e.star").filter(F.size("e.reads") == 1)
+    unwitnessed = blind.select("uid", "e.reads", "e.column").distinct()
     deciding = row_deciding_reads(pass_).agg(F.count(F.lit(1)).alias("row_deciding_reads"), n(~F.col("projected")).alias("read_not_projected"))
-    counts = [("rules", pass_.rules), ("expressions", pass_.expressions), ("columns_lost", lost_columns(pass_)), ("columns_partial", partial_columns(pass_)), ("read_downstream_but_absent", read_downstream_but_absent(pass_))]
-    out = models.crossJoin(edges).crossJoin(covered).crossJoin(deciding)  # each is one row
+    counts = [("rules", pass_.rules), ("expressions", pass_.expressions), ("columns_lost", lost_columns(pass_)), ("columns_partial", partial_columns(pass_)), ("read_downstream_but_absent", read_downstream_but_absent(pass_)), ("read_through_star_unwitnessed", unwitnessed), ("catalog_elsewhere", pass_.elsewhere), ("collisions", collisions(pass_.nodes))]
+    out = models.crossJoin(edges).crossJoin(covered).crossJoin(deciding).crossJoin(ways)  # each is one row
     for name, frame in counts:
         out = out.crossJoin(frame.agg(F.count(F.lit(1)).alias(name)))
     return out
 
 
-def clean() -> Column:
-    """Whether nothing needs to be said of a model's own row (give-ups and losses are joined beside it)."""
+def _clean_row() -> Column:
+    """Whether nothing needs to be said of a model's own row."""
     return (
         (F.col("plan") == "parsed")
         & F.col("parse_error").isNull()
@@ -140,12 +156,39 @@ def clean() -> Column:
         & (F.size("unexpected") == 0)
         & ~F.col("is_thin")
         & ~F.col("yaml_stale")
-        & ~F.col("approximate")
+        & ~F.col("gap")
         & (F.size("unbacked") == 0)
         & ~reads_only_itself()
     )
 
 
+def model_reports(pass_: Lineage) -> DataFrame:
+    """A row for each model with all that the report says of it, and `clean`: whether that is nothing.
+
+    Columns beside the model's own: lost, partial, unbacked, row_deciding, ambiguous,
+    absent_reads (columns that children read and it lacks), unknown_parents, sql_set_aside.
+    """
+
+    def listed(frame: DataFrame, name: str, *columns: str) -> DataFrame:
+        return frame.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+    parts = [
+        listed(lost_columns(pass_), "lost_columns", "column", "ends", "lists"),
+        listed(partial_columns(pass_), "partial_columns", "column", "gaps", "is_loss"),
+        listed(unbacked_reads(pass_), "unbacked_reads", "cte", "column", "owners"),
+        listed(row_deciding_reads(pass_), "row_deciding", "relation", "column", "role", "projected"),
+        listed(pass_.guesses.filter("candidates > 1"), "ambiguous", "column", "candidates", "chosen", F.col("settled").alias("by")),
+        listed(read_downstream_but_absent(pass_), "absent_reads", "column", "read_by"),
+        listed(parents_without_columns(pass_), "unknown_parents", "parent", "kind"),
+    ]
+    rows = pass_.models.withColumn("sql_set_aside", F.col("foreign")).withColumn("only_itself", reads_only_itself()).drop("ambiguous")
+    for part in parts:
+        rows = rows.join(part, "uid", "left")
+    loss = F.coalesce(F.exists("partial_columns", lambda p: p["is_loss"]), F.lit(False))
+    clean = _clean_row() & F.col("lost_columns").isNull() & ~loss & F.col("absent_reads").isNull() & F.col("unknown_parents").isNull()
+    return rows.withColumn("clean", clean)
+
+
 def parents_without_columns(pass_: Lineage) -> DataFrame:
     """(uid, parent, kind): what a model reads and no list is known of."""
     read = pass_.models.select("uid", F.explode("reads_of").alias("parent"))
@@ -176,6 +219,8 @@ def findings(pass_: Lineage) -> DataFrame:
         row(lost, "lineage_lost", F.col("column"), F.lit(1)),
         row(gaps, "lineage_partial", F.col("column"), F.lit(1)),
     ]
+    told = F.concat(F.lit("manifest: "), "relation", F.lit(", catalog: "), "catalog_relation")
+    parts.append(row(pass_.elsewhere, "catalog_of_another_target", told, none))
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)

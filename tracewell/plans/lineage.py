@@ -116,6 +116,8 @@ class Lineage:
     rules: DataFrame
     expressions: DataFrame
     partial: DataFrame
+    guesses: DataFrame  # inferred columns: what settled on which of how many candidates
+    elsewhere: DataFrame  # catalog entries of another relation than the manifest's
 
     def rows(self) -> Iterator[dict]:
         """What the pass saw of each model, in its order: the hook for callers that audit models."""
@@ -124,13 +126,21 @@ class Lineage:
 
 
 def verdicts(rows: DataFrame) -> DataFrame:
-    """Adds agreement, plan and what they rest on to rows of a model's facts, lists, own key and dependencies."""
+    """Adds agreement, plan and what they rest on to rows of a model's facts, lists, own key, dependencies and `parents_known`.
+
+    A compile is silent if it has no edge though a list of something it reads is known. `gap` is what
+    the resolver admits to have missed, but for the model's own relation, which an incremental model
+    reads to decide its rows; unless an output comes from that alone.
+    """
     rows = rows.withColumn("computed", F.col("outputs"))
     rows = graph.missing_unexpected(graph.yaml_is_stale(graph.thin(graph.agreement(rows))))
     undeclared = F.array_except(F.array_except("reads", "dependencies"), F.array(F.coalesce("own_key", F.lit(""))))
     rows = rows.withColumn("undeclared", F.sort_array(undeclared))
     foreign = (F.col("sql_source") == "file") & (F.size("undeclared") > 0)
-    silent = F.size("outputs") == 0
+    silent = (F.size("edges") == 0) & F.coalesce("parents_known", F.lit(False))
+    own = F.coalesce("own_key", F.lit(""))
+    carried = F.size(F.array_except(F.transform(F.filter("edges", lambda e: e["from_relation"] == own), lambda e: e["to_column"]), F.transform(F.filter("edges", lambda e: e["from_relation"] != own), lambda e: e["to_column"]))) > 0
+    rows = rows.withColumn("gap", F.exists("issues", lambda i: i["degrading"] & (carried | ~F.coalesce(i["relation"] == own, F.lit(False)))))
     unsound = F.col("parse_error").isNotNull() | silent | foreign
     common = F.array_intersect("outputs", F.when(F.size("warehouse") > 0, F.col("warehouse")).otherwise(F.col("declared")))
     rows = rows.withColumns({"foreign": foreign, "unsound": unsound, "shared_columns": common})
@@ -139,7 +149,10 @@ def verdicts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("retracted", (F.col("plan") != "parsed") | ((F.size("unbacked") > 0) & stand_in))
 
 
-def run(nodes: DataFrame, lists: DataFrame, options: Options | None = None, observe: Callable[[dict], None] | None = None) -> Lineage:
+ELSEWHERE = "uid string, relation string, catalog_relation string"
+
+
+def run(nodes: DataFrame, lists: DataFrame, options: Options | None = None, observe: Callable[[dict], None] | None = None, elsewhere: DataFrame | None = None) -> Lineage:
     """The whole pass over `nodes` and `lists` as the readers of `sources.project` give them.
 
     One write for each level of the graph, whatever the number of models in it.
@@ -162,14 +175,15 @@ def run(nodes: DataFrame, lists: DataFrame, options: Options | None = None, obse
         seen = here.select("uid", F.posexplode("reads_of").alias("path", "parent")).join(related, "parent").join(lists_of, "parent")
         visible = seen.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("path", "relation", "key", "columns", "others"))).alias("visible"))
         facts = resolve_models(here.join(visible, "uid", "left").select("uid", "sql", F.col("sql_problem").alias("problem"), "visible"))
+        facts = facts.join(seen.select("uid", F.lit(True).alias("parents_known")).distinct(), "uid", "left")
         judged = stored(verdicts(facts.join(here.drop("sql", "sql_problem", "parents", "file_columns"), "uid")))
         computed = judged.filter(F.size("projection") > 0).select("uid", F.lit("computed").alias("source"), F.col("projection").alias("columns"), (~F.col("retracted")).alias("kept"))
         known = known.unionByName(computed)
         parts = judged if parts is None else parts.unionByName(judged)
     if parts is None:
-        facts = nodes.sparkSession.createDataFrame([], FACTS)
+        facts = nodes.sparkSession.createDataFrame([], FACTS).withColumn("parents_known", F.lit(False))
         parts = verdicts(facts.join(base.drop("sql", "sql_problem", "parents", "file_columns"), "uid"))
-    out = publish(nodes, known, parts, read, options)
+    out = publish(nodes, known, parts, read, options, elsewhere)
     if observe is not None:
         for row in out.rows():
             observe(row)
@@ -182,7 +196,7 @@ def _mapped(frame: DataFrame, names: DataFrame, relation: str, into: str) -> Dat
     return joined.filter((F.col(into) != F.col("uid")) & ~F.col(relation).eqNullSafe(F.col("own_key")))
 
 
-def publish(nodes: DataFrame, lists: DataFrame, wide: DataFrame, read: DataFrame, options: Options) -> Lineage:
+def publish(nodes: DataFrame, lists: DataFrame, wide: DataFrame, read: DataFrame, options: Options, elsewhere: DataFrame | None = None) -> Lineage:
     """Edges, roots, rules, expressions and give-ups of all models."""
     own = wide.select("uid", "plan", "own_key", "model_ord", "shared_columns", "agreement")
     keys = nodes.filter("relation is not null").select(F.col("uid").alias("parent"), graph.relation_key("relation").alias("key"))
@@ -195,20 +209,20 @@ def publish(nodes: DataFrame, lists: DataFrame, wide: DataFrame, read: DataFrame
     in_shared = F.array_contains("shared_columns", F.col("to_column"))
     parsed = parsed_all.filter((F.col("plan") == "parsed") | ((F.col("plan") == "per_column") & in_shared))
     parsed = parsed.select("from", F.col("from_column").alias("from_col"), F.col("uid").alias("to"), F.col("to_column").alias("to_col"), "kind", "model_ord", F.col("edge_ord").cast("long").alias("edge_ord"))
-    direct = parsed
+    direct, guessed = parsed, None
     if options.infer:
         wanted = wide.filter("plan <> 'parsed'").select("uid", "plan", "shared_columns", F.when(F.size("warehouse") > 0, F.col("warehouse")).when(F.size("declared") > 0, F.col("declared")).otherwise(F.col("outputs")).alias("listed"))
         missing = F.when(F.col("plan") == "per_column", F.array_except("listed", "shared_columns")).otherwise(F.col("listed"))
         outputs = wanted.select(F.col("uid").alias("to"), F.explode(F.array_distinct(missing)).alias("col"))
         offered = read.join(best.withColumnRenamed("uid", "parent"), "parent").select(F.col("uid").alias("to"), "parent", F.col("path").alias("ord"), F.explode("columns").alias("col"), F.col("source").alias("list"))
         same = parsed_all.filter("from_column = to_column").select(F.col("uid").alias("to"), F.col("from").alias("parent"), F.col("to_column").alias("col"))
-        guessed = graph.infer_edges(outputs, offered, same)
-        guessed = guessed.join(own.select(F.col("uid").alias("to"), "model_ord"), "to").select("from", "from_col", "to", "to_col", F.lit("inferred").alias("kind"), "model_ord", (F.lit(1 << 32) + F.col("ord")).cast("long").alias("edge_ord"))
+        guessed = stored(graph.infer_edges(outputs, offered, same))
+        inferred = guessed.join(own.select(F.col("uid").alias("to"), "model_ord"), "to").select("from", "from_col", "to", "to_col", F.lit("inferred").alias("kind"), "model_ord", (F.lit(1 << 32) + F.col("ord")).cast("long").alias("edge_ord"))
         unbacked = wide.filter("plan = 'parsed'").select("uid", "own_key", "model_ord", F.explode("unbacked").alias("u")).filter(F.size("u.owners") == 1)
         unbacked = _mapped(unbacked.select("uid", "own_key", "model_ord", F.element_at("u.owners", 1).alias("from_relation"), "u.column", "u.output"), names, "from_relation", "from")
         backed = unbacked.select("from", F.col("column").alias("from_col"), F.col("uid").alias("to"), F.col("output").alias("to_col"), F.lit("inferred").alias("kind"), "model_ord", F.lit(1 << 33).cast("long").alias("edge_ord")).distinct()
         backed = backed.join(parsed.select("from", "from_col", "to", "to_col"), ["from", "from_col", "to", "to_col"], "left_anti")
-        direct = parsed.unionByName(guessed).unionByName(backed.select(*parsed.columns))
+        direct = parsed.unionByName(inferred).unionByName(backed.select(*parsed.columns))
     direct = stored(direct)
     sound = wide.filter("plan <> 'inferred'")
     reads = _mapped(sound.select("uid", "own_key", F.explode("indirect").alias("i")).select("uid", "own_key", F.col("i.relation").alias("relation"), F.col("i.column").alias("from_col"), F.col("i.role").alias("role")), names, "relation", "from")
@@ -232,7 +246,13 @@ def publish(nodes: DataFrame, lists: DataFrame, wide: DataFrame, read: DataFrame
     expressions = best_text.withColumn("kind", kind).filter("kind in ('cast', 'transform', 'aggregate', 'window')").join(own.select("uid", "model_ord"), "uid")
     expressions = expressions.select("uid", F.col("to_column").alias("column"), "kind", F.substring("expression", 1, TEXT_CUT).alias("text"), F.col("steps"), (F.char_length("expression") > TEXT_CUT).alias("cut"), "model_ord")
     rules = _rules(sound, names)
-    return Lineage(nodes, lists, wide, edges, roots, rules, expressions, partial_)
+    spark = nodes.sparkSession
+    if guessed is None:
+        guesses = spark.createDataFrame([], "uid string, column string, settled string, candidates long, chosen array<string>")
+    else:
+        guesses = guessed.groupBy(F.col("to").alias("uid"), F.col("to_col").alias("column"), "settled", "candidates").agg(F.sort_array(F.collect_set("from")).alias("chosen"))
+    other = elsewhere if elsewhere is not None else spark.createDataFrame([], ELSEWHERE)
+    return Lineage(nodes, lists, wide, edges, roots, rules, expressions, partial_, guesses, other)
 
 
 def _rules(sound: DataFrame, names: DataFrame) -> DataFrame:
@@ -249,4 +269,4 @@ def _rules(sound: DataFrame, names: DataFrame) -> DataFrame:
 def run_project(spark: SparkSession, project, options: Options | None = None, observe: Callable[[dict], None] | None = None) -> Lineage:
     from tracewell.sources.project import tables
 
-    return run(*tables(spark, project), options, observe)
+    return run(*tables(spark, project), options, observe, spark.createDataFrame(project.elsewhere, ELSEWHERE))

@@ -370,6 +370,8 @@ orders | o_orderkey | best_line | o_orderkey | passthrough
 lineitem | l_quantity | best_line | best | aggregate
 events | event_id | event_props | event_id | passthrough
 events | props | event_props | prop | transform
+documents | doc_id | which_doc | doc_id | inferred
+labels | quality | which_doc | quality | inferred
 """
 DEMO_READS = """
 orders_enriched | STG_CUSTOMER | customer_id | join_key | true
@@ -387,8 +389,8 @@ best_line | LINEITEM | l_orderkey | filter | false
 best_line | ORDERS | o_orderkey | filter | true
 """
 DEMO_PLANS = "\n".join(
-    f"{name} | {'per_column' if name == 'behind_table' else 'inferred' if name == 'broken_compile' else 'parsed'}"
-    for name in "stg_customer stg_orders int_order_totals orders_enriched customer_ltv latest_event event_kinds big_spenders doc_keys doc_labels nation_tree spine star_edits self_incremental behind_table broken_compile thin_stage undeclared_reader best_line event_props".split()
+    f"{name} | {'per_column' if name == 'behind_table' else 'inferred' if name in ('broken_compile', 'silent_macro', 'which_doc') else 'parsed'}"
+    for name in "stg_customer stg_orders int_order_totals orders_enriched customer_ltv latest_event event_kinds big_spenders doc_keys doc_labels nation_tree spine star_edits self_incremental behind_table broken_compile thin_stage undeclared_reader best_line event_props silent_macro which_doc carried_over".split()
 )
 
 
@@ -433,7 +435,7 @@ def demo_unbacked(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     values(
         "category, owner, severity, models",
-        "compile_does_not_parse | project | error | broken_compile\nreads_a_name_its_cte_lacks | project | warning | thin_stage\nrelation_not_declared | project | warning | undeclared_reader\n"
+        "catalog_of_another_target | inputs | error | pages\ncompile_does_not_parse | project | error | broken_compile,which_doc\nreads_only_itself | project | info | carried_over\nreads_a_name_its_cte_lacks | project | warning | thin_stage\nrelation_not_declared | project | warning | undeclared_reader\n"
         "table_older_than_code | project | warning | behind_table\ncode_ahead_of_table | project | warning | behind_table",
     )
 )
@@ -444,14 +446,56 @@ def demo_findings(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("category", "owner", "severity", F.array_join(F.transform("models", lambda m: m["name"]), ",").alias("models"))
 
 
-@query("SELECT 20 AS models, 19 AS parsed, 1 AS parse_failed, 38 AS edges_parsed, 4 AS edges_inferred, 13 AS row_deciding_reads, 6 AS read_not_projected, 3 AS columns_root, 1 AS unbacked_reads, 1 AS undeclared")
+@query(
+    """SELECT 23 AS models, 21 AS parsed, 2 AS parse_failed, 38 AS edges_parsed, 6 AS edges_inferred, 13 AS row_deciding_reads, 6 AS read_not_projected, 3 AS columns_root, 1 AS unbacked_reads, 1 AS undeclared,
+      1 AS catalog_elsewhere, 1 AS columns_self, 0 AS read_through_star_unwitnessed, 0 AS ambiguous_by_compile, 0 AS ambiguous_by_every, 1 AS ambiguous_by_order, 1 AS self_reads, 0 AS collisions"""
+)
 def demo_totals(spark: SparkSession, sf: str) -> DataFrame:
     from tracewell.operators.report import totals
 
-    names = "models parsed parse_failed edges_parsed edges_inferred row_deciding_reads read_not_projected columns_root unbacked_reads undeclared".split()
+    names = "models parsed parse_failed edges_parsed edges_inferred row_deciding_reads read_not_projected columns_root unbacked_reads undeclared catalog_elsewhere columns_self read_through_star_unwitnessed ambiguous_by_compile ambiguous_by_every ambiguous_by_order self_reads collisions".split()
     return totals(_demo(spark, sf)).select(*[F.col(n).cast("int").alias(n) for n in names])
 
 
+@query(
+    values(
+        "model, why",
+        """
+behind_table | plan,missing,unexpected
+broken_compile | plan,parse_error,gap,missing
+which_doc | plan,parse_error,gap,missing,ambiguous
+thin_stage | unbacked
+undeclared_reader | undeclared
+silent_macro | plan
+carried_over | only_itself
+""",
+    )
+)
+def demo_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Models of which something is to be said, and what."""
+    from tracewell.operators.report import model_reports
+
+    reasons = {
+        "plan": "plan <> 'parsed'",
+        "parse_error": "parse_error is not null",
+        "undeclared": "size(undeclared) > 0",
+        "gap": "gap",
+        "missing": "size(missing) > 0",
+        "unexpected": "size(unexpected) > 0",
+        "thin": "is_thin",
+        "stale": "yaml_stale",
+        "unbacked": "unbacked_reads is not null",
+        "lost": "lost_columns is not null",
+        "partial": "exists(partial_columns, p -> p.is_loss)",
+        "absent": "absent_reads is not null",
+        "parents": "unknown_parents is not null",
+        "ambiguous": "ambiguous is not null",
+        "only_itself": "only_itself",
+    }
+    why = F.array_join(F.array(*[F.when(F.expr(condition), F.lit(name)) for name, condition in reasons.items()]), ",")
+    return model_reports(_demo(spark, sf)).filter("not clean").select(short("uid").alias("model"), why.alias("why"))
+
+
 def _constructs(family: str):
     from tracewell.queries import constructs
 

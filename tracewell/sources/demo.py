@@ -73,6 +73,9 @@ _MODELS = (
     ("thin_stage", "supplier", "s_suppkey s_acctbal", "with u as (select s_suppkey from demo.raw.supplier) select s_suppkey, s_acctbal from u"),
     ("undeclared_reader", "", "k", "select x.k from demo.elsewhere.things x"),
     ("best_line", "orders lineitem", "o_orderkey best", "select o_orderkey, (select max(l.l_quantity) from demo.raw.lineitem l where l.l_orderkey = o.o_orderkey) as best from demo.raw.orders o"),
+    ("silent_macro", "nation", "", "select 1 as one"),
+    ("which_doc", "documents labels", "doc_id quality", "select from demo.raw.documents"),
+    ("carried_over", "", "total", "select total from demo.main.carried_over"),
     ("event_props", "events", "event_id prop", "select e.event_id, f.value as prop from demo.raw.events e, lateral flatten(input => parse_json(e.props)) f"),
 )
 
@@ -91,5 +94,6 @@ def over_tables(columns_of) -> Project:
         project.nodes[uid] = Node(uid, name, "model", "demo", f"models/{name}.sql", "" if ephemeral else f"demo.main.{name}", "ephemeral" if ephemeral else "table", sql=sql, sql_source="manifest", parents=given)
         if columns:
             project.warehouse[uid] = columns.split()
+    project.elsewhere.append(("source.demo.pages", "DEMO.RAW.PAGES", "STAGE.RAW.PAGES"))
     project.nodes = dict(sorted(project.nodes.items()))
     return project

@@ -60,7 +60,7 @@ class Project:
     adapter: str = ""
     version: str = ""
     warehouse: dict[str, list[str]] = field(default_factory=dict)
-    elsewhere: list[str] = field(default_factory=list)  # catalog entries of another relation than the manifest's
+    elsewhere: list[tuple[str, str, str]] = field(default_factory=list)  # (uid, its relation, the catalog's other one)
 
 
 def distinct(names) -> list[str]:
@@ -109,7 +109,7 @@ def add_catalog(project: Project, raw: dict) -> None:
         ours = relation_key(node.relation) if node.relation else ""
         n = min(len(where.split(".")), len(ours.split("."))) if ours else 0
         if n and where.split(".")[-n:] != ours.split(".")[-n:]:
-            project.elsewhere.append(uid)
+            project.elsewhere.append((uid, ours, where))
             continue
         columns = [(c.get("index") is None, c.get("index") or 0, i, c.get("name") or key) for i, (key, c) in enumerate((entry.get("columns") or {}).items())]
         names = distinct(name for *_, name in sorted(columns))

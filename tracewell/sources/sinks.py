@@ -10,7 +10,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import report
+from tracewell.operators import graph, report
 from tracewell.plans.lineage import Lineage
 
 VERSION = 1
@@ -72,15 +72,19 @@ def report_document(pass_: Lineage, project=None, now: str | None = None) -> dic
     out: dict = {"generated_at": now or datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")}
     if project is not None:
         out |= {"project": project.name, "adapter": project.adapter, "dbt_version": project.version}
-        if project.elsewhere:
-            out["catalog_elsewhere"] = sorted(project.elsewhere)
+    plain = lambda rows: [{k: v for k, v in r.asDict(recursive=True).items() if v not in (None, [], False, "")} for r in rows.toLocalIterator()]
+    if found := plain(pass_.elsewhere.orderBy("uid")):
+        out["catalog_elsewhere"] = found
+    if found := plain(graph.collisions(pass_.nodes).orderBy("key")):
+        out["collisions"] = found
     out["totals"] = report.totals(pass_).first().asDict()
     told = report.findings(pass_).orderBy("rank").drop("rank")
     if found := [r.asDict(recursive=True) for r in told.toLocalIterator()]:
         out["findings"] = found
-    unclean = pass_.models.filter(~report.clean()).orderBy("name", "uid")
-    keep = ("name", "uid", "file", "plan", "agreement", "parse_error", "undeclared", "missing", "unexpected", "yaml_stale", "is_thin", "issues", "merged_scopes")
-    out["models"] = [{k: v for k, v in r.asDict(recursive=True).items() if v not in (None, [], False, "")} for r in unclean.select(*keep).toLocalIterator()]
+    unclean = report.model_reports(pass_).filter("not clean").orderBy("name", "uid")
+    own = ("name", "uid", "file", "sql_source", "sql_set_aside", "plan", "agreement", "only_itself", "parse_error", "undeclared", "missing", "unexpected", "yaml_stale", "is_thin", "issues", "merged_scopes")
+    joined = ("unknown_parents", "lost_columns", "partial_columns", "unbacked_reads", "row_deciding", "ambiguous", "absent_reads")
+    out["models"] = plain(unclean.select(*own, *joined))
     return out
 
 
