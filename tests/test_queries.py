@@ -9,8 +9,8 @@ import pytest
 from tracewell.queries import lineage, relational
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"lineage_indirect_edges", "lineage_rules", "lineage_expressions"}
-NAMES = [n for n in {**relational.ORACLE, **lineage.ORACLE} if n not in SLOW]
+
+NAMES = list({**relational.ORACLE, **lineage.ORACLE})
 
 
 def plain(value):

@@ -86,8 +86,16 @@ def read_through(edges: DataFrame, through: DataFrame) -> DataFrame:
 
 def best_lists(lists: DataFrame) -> DataFrame:
     """(uid, source, columns): of each node's lists the most trusted one that isn't empty."""
+    return visible_lists(lists.withColumn("kept", F.lit(True))).drop("others")
+
+
+def visible_lists(lists: DataFrame) -> DataFrame:
+    """(uid, source, columns, others): of each node's lists that are `kept` the most trusted one that isn't empty, and all of them."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SOURCES]), F.col("source"))
-    return lists.filter(F.size("columns") > 0).groupBy("uid").agg(F.min_by(F.struct("source", "columns"), rank).alias("b")).select("uid", "b.source", "b.columns")
+    usable = F.when(F.col("kept") & (F.size("columns") > 0), rank)
+    one = F.struct("source", "columns")
+    found = lists.groupBy("uid").agg(F.min_by(one, usable).alias("b"), F.max(usable).alias("any"), F.collect_list(one).alias("others"))
+    return found.filter("any is not null").select("uid", "b.source", "b.columns", "others")
 
 
 def same_set(a: str, b: str) -> Column:

@@ -68,10 +68,10 @@ def _read_through_star(sql: str, visible: list[tuple[str, list[str]]], others: d
     return again, bridged
 
 
-def _resolve_batches(batches, schema: pa.Schema):
+def _resolve_batches(batches, schema: pa.Schema, facts: list[str], keep: list[str]):
     for batch in batches:
         out = []
-        for row in batch.to_pylist():
+        for row in batch.select(["uid", "sql", "problem", "visible"]).to_pylist():
             visible = [(v["relation"], v["columns"]) for v in row["visible"] or []]
             if row["sql"] is None:
                 found = resolve("", [])
@@ -83,19 +83,23 @@ def _resolve_batches(batches, schema: pa.Schema):
                 others = {v["key"]: [(x["source"], x["columns"]) for x in v["others"] or []] for v in row["visible"] or []}
                 found, bridged = _read_through_star(row["sql"], visible, others, found)
             out.append({"uid": row["uid"], **found, "bridged": bridged})
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
+        made = pa.RecordBatch.from_pylist(out, schema=pa.schema([schema.field(n) for n in facts]))
+        kept = [batch.column(n).cast(schema.field(n).type) for n in keep]
+        yield pa.RecordBatch.from_arrays([*made.columns, *kept], schema=schema)
 
 
-def resolve_models(models: DataFrame) -> DataFrame:
-    """Facts of each model: rows (uid, sql, problem, visible), the lists as an array of (relation, key, columns, others)."""
+def resolve_models(models: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Facts of each model: rows (uid, sql, problem, visible), the lists as an array of (relation, key, columns, others), and the columns `keep` as they are."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = to_arrow_schema(StructType.fromDDL(FACTS))
-    models = models.select("uid", "sql", "problem", "visible")
+    facts = StructType.fromDDL(FACTS)
+    models = models.select("uid", "sql", "problem", "visible", *keep)
+    whole = StructType([*facts.fields, *(models.schema[c] for c in keep)])
     if not models.isStreaming:  # small rows that take long: spread them, however few bytes they are
         models = models.repartition(models.sparkSession.sparkContext.defaultParallelism, "uid")
-    return models.mapInArrow(partial(_resolve_batches, schema=schema), FACTS)
+    run = partial(_resolve_batches, schema=to_arrow_schema(whole), facts=facts.names, keep=list(keep))
+    return models.mapInArrow(run, whole)
 
 
 @dataclass
@@ -132,18 +136,21 @@ def verdicts(rows: DataFrame) -> DataFrame:
     the resolver admits to have missed, but for the model's own relation, which an incremental model
     reads to decide its rows; unless an output comes from that alone.
     """
-    rows = rows.withColumn("computed", F.col("outputs"))
+    own = F.coalesce("own_key", F.lit(""))
+    fed_by = lambda same: F.transform(F.filter("edges", lambda e: (e["from_relation"] == own) == F.lit(same)), lambda e: e["to_column"])
+    carried = F.size(F.array_except(fed_by(True), fed_by(False))) > 0
+    rows = rows.withColumns(
+        {
+            "computed": F.col("outputs"),
+            "undeclared": F.sort_array(F.array_except(F.array_except("reads", "dependencies"), F.array(own))),
+            "silent": (F.size("edges") == 0) & F.coalesce("parents_known", F.lit(False)),
+            "gap": F.exists("issues", lambda i: i["degrading"] & (carried | ~F.coalesce(i["relation"] == own, F.lit(False)))),
+        }
+    )
     rows = graph.missing_unexpected(graph.yaml_is_stale(graph.thin(graph.agreement(rows))))
-    undeclared = F.array_except(F.array_except("reads", "dependencies"), F.array(F.coalesce("own_key", F.lit(""))))
-    rows = rows.withColumn("undeclared", F.sort_array(undeclared))
     foreign = (F.col("sql_source") == "file") & (F.size("undeclared") > 0)
-    silent = (F.size("edges") == 0) & F.coalesce("parents_known", F.lit(False))
-    own = F.coalesce("own_key", F.lit(""))
-    carried = F.size(F.array_except(F.transform(F.filter("edges", lambda e: e["from_relation"] == own), lambda e: e["to_column"]), F.transform(F.filter("edges", lambda e: e["from_relation"] != own), lambda e: e["to_column"]))) > 0
-    rows = rows.withColumn("gap", F.exists("issues", lambda i: i["degrading"] & (carried | ~F.coalesce(i["relation"] == own, F.lit(False)))))
-    unsound = F.col("parse_error").isNotNull() | silent | foreign
     common = F.array_intersect("outputs", F.when(F.size("warehouse") > 0, F.col("warehouse")).otherwise(F.col("declared")))
-    rows = rows.withColumns({"foreign": foreign, "unsound": unsound, "shared_columns": common})
+    rows = rows.withColumns({"foreign": foreign, "unsound": F.col("parse_error").isNotNull() | F.col("silent") | foreign, "shared_columns": common})
     rows = rows.withColumn("plan", graph.plan_of(F.col("unsound"), F.col("agreement"), F.size("shared_columns"), F.size("unbacked") > 0))
     stand_in = (F.size("warehouse") > 0) | (F.size("declared") > 0)
     return rows.withColumn("retracted", (F.col("plan") != "parsed") | ((F.size("unbacked") > 0) & stand_in))
@@ -159,30 +166,29 @@ def run(nodes: DataFrame, lists: DataFrame, options: Options | None = None, obse
     """
     options = options or Options()
     models = nodes.filter("kind in ('model', 'snapshot')").withColumn("own_key", graph.relation_key("relation"))
-    read = models.select("uid", F.posexplode("reads_of").alias("path", "parent"))
+    read = models.select("uid", "level", F.posexplode("reads_of").alias("path", "parent"))
     related = nodes.filter("relation is not null").select(F.col("uid").alias("parent"), "relation", graph.relation_key("relation").alias("key"))
+    asked = stored(read.join(related, "parent"))
     by_source = lists.groupBy("uid").pivot("source", ["warehouse", "seed_file", "declared"]).agg(F.first("columns"))
-    needed = read.join(related, "parent").groupBy("uid").agg(F.collect_set("key").alias("dependencies"))
+    needed = asked.groupBy("uid").agg(F.collect_set("key").alias("dependencies"))
     base = models.drop("declared").join(by_source, "uid", "left").join(needed, "uid", "left")
     base = stored(base.withColumn("dependencies", F.coalesce("dependencies", F.expr(NO_TEXTS))))
-    known, parts = lists.withColumn("kept", F.lit(True)), None
+    known, parts, read = lists.withColumn("kept", F.lit(True)), None, read.drop("level")
+    kept = tuple(c for c in base.columns if c not in ("uid", "sql", "sql_problem", "parents", "file_columns"))
     depth = [r["level"] for r in base.select("level").distinct().orderBy("level").collect()]
     for level in depth:
-        here = base.filter(F.col("level") == level)
-        best = graph.best_lists(known.filter("kept"))
-        others = known.groupBy("uid").agg(F.collect_list(F.struct("source", "columns")).alias("others"))
-        lists_of = best.join(others, "uid").withColumnRenamed("uid", "parent").drop("source")
-        seen = here.select("uid", F.posexplode("reads_of").alias("path", "parent")).join(related, "parent").join(lists_of, "parent")
-        visible = seen.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("path", "relation", "key", "columns", "others"))).alias("visible"))
-        facts = resolve_models(here.join(visible, "uid", "left").select("uid", "sql", F.col("sql_problem").alias("problem"), "visible"))
-        facts = facts.join(seen.select("uid", F.lit(True).alias("parents_known")).distinct(), "uid", "left")
-        judged = stored(verdicts(facts.join(here.drop("sql", "sql_problem", "parents", "file_columns"), "uid")))
+        here = base.filter(F.col("level") == level).withColumnRenamed("sql_problem", "problem")
+        wanted = asked.filter(F.col("level") == level)
+        lists_of = graph.visible_lists(known.join(wanted.select(F.col("parent").alias("uid")), "uid", "left_semi")).withColumnRenamed("uid", "parent").drop("source")
+        visible = wanted.join(lists_of, "parent").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("path", "relation", "key", "columns", "others"))).alias("visible"))
+        given = here.join(visible, "uid", "left").withColumn("parents_known", F.col("visible").isNotNull())
+        judged = stored(verdicts(resolve_models(given, (*kept, "parents_known"))))
         computed = judged.filter(F.size("projection") > 0).select("uid", F.lit("computed").alias("source"), F.col("projection").alias("columns"), (~F.col("retracted")).alias("kept"))
         known = known.unionByName(computed)
         parts = judged if parts is None else parts.unionByName(judged)
     if parts is None:
         facts = nodes.sparkSession.createDataFrame([], FACTS).withColumn("parents_known", F.lit(False))
-        parts = verdicts(facts.join(base.drop("sql", "sql_problem", "parents", "file_columns"), "uid"))
+        parts = verdicts(facts.join(base.select("uid", *kept), "uid"))
     out = publish(nodes, known, parts, read, options, elsewhere)
     if observe is not None:
         for row in out.rows():
