@@ -47,4 +47,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     nodes = checkpointed(nodes)
     release(left, *spent)
     least = nodes.groupBy("to").agg(F.min("node").alias("component"))
-    return nodes.join(least, "to").select("node", "component")
+    out = checkpointed(nodes.join(least, "to").select("node", "component").repartition("node"))  # dealt evenly, however large a component is
+    release(nodes)
+    return out
