@@ -96,8 +96,8 @@ def resolve_models(models: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     facts = StructType.fromDDL(FACTS)
     models = models.select("uid", "sql", "problem", "visible", *keep)
     whole = StructType([*facts.fields, *(models.schema[c] for c in keep)])
-    if not models.isStreaming:  # small rows that take long: spread them, however few bytes they are
-        models = models.repartition(models.sparkSession.sparkContext.defaultParallelism, "uid")
+    if not models.isStreaming:  # small rows that take long: spread them, however few bytes they are; by a hash, since a deal by uid itself is left out after a join on uid
+        models = models.repartition(models.sparkSession.sparkContext.defaultParallelism, F.xxhash64("uid"))
     run = partial(_resolve_batches, schema=to_arrow_schema(whole), facts=facts.names, keep=list(keep))
     return models.mapInArrow(run, whole)
 
