@@ -537,3 +537,33 @@ def construct_facts(spark: SparkSession, statements: list[tuple[str, str]]) -> D
 
 for _family in ("projection", "subqueries", "joins", "aggregates", "windows", "sets", "generators", "gaps"):
     _constructs(_family)
+
+# What Spark's analyzer can't read of the constructs, with string columns for everything; and what only one reader finds.
+_UNREAD = "A4 A4b A10 A10b A15 A4c J8 J9 G5b W5 U2 F1 F2 F3 F3b F3c F3d F3e F4 F5 F5c F6 F7 F9 F10 F11 F5d B14 B15 B15b B16 B17 B20 B20b B20c".split()
+_ALONE = {"G6": ["tides.station > level"]}
+
+
+def _witnessed() -> str:
+    from tracewell.queries import constructs
+
+    kinds = ("passthrough", "rename", "cast", "transform", "hash", "aggregate", "window")
+    rows = []
+    for family in constructs.FAMILIES:
+        for construct, _, facts in constructs.cases(family):
+            if construct in _UNREAD:
+                rows.append(f"{construct} | unread | ")
+                continue
+            edges = {fact.split(" ", 1)[1] for fact in facts if fact.split(" ", 1)[0] in kinds}
+            rows.extend(f"{construct} | {'resolver' if e in _ALONE.get(construct, ()) else 'both'} | {e}" for e in sorted(edges))
+    return "\n".join(rows)
+
+
+@query(values("construct, readers, edge", _witnessed()))
+def second_reader(spark: SparkSession, sf: str) -> DataFrame:
+    """Every edge of the constructs with the readers that find it: the resolver, Spark's analyzer or both."""
+    from tracewell.operators.second_reader import audit
+    from tracewell.queries import constructs
+
+    every = [(construct, sql, constructs.LISTS) for family in constructs.FAMILIES for construct, sql, _ in constructs.cases(family)]
+    edge = F.concat(F.element_at(F.split("relation", r"\."), -1), F.lit("."), F.col("column"), F.lit(" > "), F.col("output"))
+    return audit(spark, every).select(F.col("uid").alias("construct"), "readers", F.coalesce(edge, F.lit("")).alias("edge"))
